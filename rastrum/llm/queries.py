@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, ngram_join
+from . import langid, mixing, ngram_join, packing, secrets
 
 #: A word as rastrum.llm.text cuts it, in RE2 syntax.
 WORD = r"[0-9A-Za-z_\x{AA}\x{B5}\x{BA}\x{C0}-\x{1FFF}\x{2040}-\x{2FFF}\x{3040}-\x{10FFFF}]+"
@@ -16,6 +16,21 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in the blocks that bring sources to their target weights."""
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret in every document, by format likelihood."""
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
+def op5_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows that related documents fill."""
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents whose sets of word trigrams have Jaccard similarity 0.5 or more."""
     return ngram_join.similar_pairs(_read(spark, sf_dir, "documents"))
@@ -28,11 +43,15 @@ def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixture": op1_source_mixture,
+    "op2_secret_scan": op2_secret_scan,
+    "op5_related_packing": op5_related_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_language_spans": op8_language_spans,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_source_mixture": mixing.oracle(),
     "op6_ngram_jaccard_join": f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS ws FROM documents),
 g AS (
