@@ -156,7 +156,7 @@ RESULT = "vec_a long, vec_b long, cosine double"
 
 
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, tables: int = TABLES, far: int = FAR, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Pairs of vectors with cosine similarity of at least ``threshold``."""
+    """Pairs of vectors with cosine similarity, rounded to 6 places, of at least ``threshold`` (compared before rounding)."""
     spark = table.sparkSession
     vecs = checkpoint(vectors(table, id_col, vec_col))
     model = learn(vecs, bits)
@@ -174,4 +174,4 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, bits: int =
                 ok = pa.array(np.flatnonzero(cos >= threshold))
                 yield pa.RecordBatch.from_arrays([column(b, "a").take(ok), column(b, "b").take(ok), pa.array(cos).take(ok)], names=["vec_a", "vec_b", "cosine"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(compare, RESULT).groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+    return both.select("a", "b", "x", "y").mapInArrow(compare, RESULT).groupBy("vec_a", "vec_b").agg(F.round(F.max("cosine"), 6).alias("cosine"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, ngram_join, packing, secrets
+from . import html_extract, langid, mixing, neardup, ngram_join, packing, secrets, suffix, topk, toxicity
 
 #: A word as rastrum.llm.text cuts it, in RE2 syntax.
 WORD = r"[0-9A-Za-z_\x{AA}\x{B5}\x{BA}\x{C0}-\x{1FFF}\x{2040}-\x{2FFF}\x{3040}-\x{10FFFF}]+"
@@ -26,6 +26,16 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op3_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that an induced lexicon finds toxic."""
+    return toxicity.toxic_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that share most with each benchmark item."""
+    return topk.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op5_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows that related documents fill."""
     return packing.pack(_read(spark, sf_dir, "documents"))
@@ -36,31 +46,67 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(_read(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of embeddings with cosine similarity 0.95 or more."""
+    return neardup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language spans of every document and whether the document is accepted."""
     docs = _read(spark, sf_dir, "documents")
     return langid.spans(docs, langid.train(docs))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages of 50 words or more that documents share."""
+    return suffix.repeats(_read(spark, sf_dir, "documents"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixture": op1_source_mixture,
     "op2_secret_scan": op2_secret_scan,
+    "op3_toxic_documents": op3_toxic_documents,
+    "op4_exact_topk": op4_exact_topk,
     "op5_related_packing": op5_related_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_embedding_near_duplicates": op7_embedding_near_duplicates,
     "op8_language_spans": op8_language_spans,
+    "op9_repeated_passages": op9_repeated_passages,
+    "op10_html_text": op10_html_text,
 }
 
+
+
+def _grams(table: str, key: str) -> str:
+    """SQL for the distinct word trigrams of each text."""
+    return f"""SELECT DISTINCT {key} AS id, unnest(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS gram
+  FROM (SELECT {key}, regexp_extract_all(lower(text), '{WORD}') AS ws FROM {table} WHERE {key} IS NOT NULL) WHERE len(ws) > 0"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mixture": mixing.oracle(),
+    "op4_exact_topk": f"""
+WITH g AS ({_grams("documents", "doc_id")}),
+q AS ({_grams("benchmark", "item_id")}),
+n AS (SELECT count(DISTINCT doc_id) AS n FROM documents WHERE text IS NOT NULL),
+w AS (SELECT gram, greatest(1, CAST(round(1000 * ln(any_value(n.n) / count(*))) AS BIGINT)) AS weight FROM g, n WHERE gram IN (SELECT gram FROM q) GROUP BY gram),
+s AS (SELECT q.id AS item_id, g.id AS doc_id, CAST(sum(weight) AS BIGINT) AS score FROM q JOIN w USING (gram) JOIN g USING (gram) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place, doc_id, score FROM s QUALIFY place <= 10""",
     "op6_ngram_jaccard_join": f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS ws FROM documents),
-g AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS gram
-  FROM w WHERE len(ws) > 0),
-n AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
-o AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS overlap FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL)
+WITH g AS ({_grams("documents", "doc_id")}),
+n AS (SELECT id, count(*) AS size FROM g GROUP BY id),
+o AS (SELECT x.id AS doc_a, y.id AS doc_b, count(*) AS overlap FROM g x JOIN g y ON x.gram = y.gram AND x.id < y.id GROUP BY ALL)
 SELECT doc_a, doc_b, overlap, a.size + b.size - overlap AS union_size, overlap / (a.size + b.size - overlap) AS jaccard
-FROM o JOIN n a ON a.doc_id = doc_a JOIN n b ON b.doc_id = doc_b
+FROM o JOIN n a ON a.id = doc_a JOIN n b ON b.id = doc_b
 WHERE overlap / (a.size + b.size - overlap) >= 0.5""",
+    "op7_embedding_near_duplicates": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine
+FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95""",
 }
