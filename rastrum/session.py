@@ -18,6 +18,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # rows here are whole documents
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark
 
 
