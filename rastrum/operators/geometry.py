@@ -44,18 +44,23 @@ def lidar_to_camera(t_lidar: Sequence[Sequence[float]], t_cam: Sequence[Sequence
 def project(points: DataFrame, cam: Camera) -> DataFrame:
     """Points in front of the camera, in its field of view and off the image margin, with half-to-even pixel coordinates."""
     x, y, z = (F.col(c) for c in ("x", "y", "z"))
-    cx, cy, cz = (r[0] * x + r[1] * y + r[2] * z + r[3] for r in cam.rows)
-    df = points.select("frame_id", "idx", cx.alias("x"), cy.alias("y"), cz.alias("z")).where("z > 0")
-    r = F.sqrt(x * x + y * y)
-    theta = F.atan2(r, z)
-    t2 = theta * theta
+    moved = F.struct(*((r[0] * x + r[1] * y + r[2] * z + r[3]).alias(n) for r, n in zip(cam.rows, "xyz", strict=True)))
+
+    def then(items: Column, **made) -> Column:
+        """Each item with further fields; the lambda variable holds a value that is used many times, which columns would repeat."""
+        return F.transform(items, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"), *(f(p).alias(n) for n, f in made.items())))
+
     k = cam.k
-    td = theta * (1 + t2 * (k[0] + t2 * (k[1] + t2 * (k[2] + t2 * k[3]))))
-    df = df.withColumn("theta", theta).where(F.col("theta") <= cam.half_fov)
-    u = F.when(r > 0, cam.fx * td * x / r + cam.cx).otherwise(F.lit(cam.cx))
-    v = F.when(r > 0, cam.fy * td * y / r + cam.cy).otherwise(F.lit(cam.cy))
-    df = df.withColumn("u", u).withColumn("v", v)
-    df = df.where((F.col("u") >= MARGIN) & (F.col("u") < cam.width - MARGIN) & (F.col("v") >= MARGIN) & (F.col("v") < cam.height - MARGIN))
+    p = F.filter(F.array(moved), lambda p: p["z"] > 0)
+    p = then(p, r=lambda p: F.sqrt(p["x"] * p["x"] + p["y"] * p["y"]))
+    p = then(p, r=lambda p: p["r"], theta=lambda p: F.atan2(p["r"], p["z"]))
+    p = F.filter(p, lambda p: p["theta"] <= cam.half_fov)
+    p = then(p, r=lambda p: p["r"], theta=lambda p: p["theta"], t2=lambda p: p["theta"] * p["theta"])
+    p = then(p, r=lambda p: p["r"], td=lambda p: p["theta"] * (1 + p["t2"] * (k[0] + p["t2"] * (k[1] + p["t2"] * (k[2] + p["t2"] * k[3])))))
+    u = lambda p: F.when(p["r"] > 0, cam.fx * p["td"] * p["x"] / p["r"] + cam.cx).otherwise(F.lit(cam.cx))
+    v = lambda p: F.when(p["r"] > 0, cam.fy * p["td"] * p["y"] / p["r"] + cam.cy).otherwise(F.lit(cam.cy))
+    p = F.filter(then(p, u=u, v=v), lambda p: (p["u"] >= MARGIN) & (p["u"] < cam.width - MARGIN) & (p["v"] >= MARGIN) & (p["v"] < cam.height - MARGIN))
+    df = points.select("frame_id", "idx", F.inline(p))
     pixel = lambda c: F.least(F.lit(65535), F.greatest(F.lit(0), F.rint(c).cast("int")))
     return df.select("frame_id", "idx", F.lit(1).alias("camera_id"), pixel(F.col("u")).alias("px"), pixel(F.col("v")).alias("py"), "x", "y", "z")
 
