@@ -135,6 +135,7 @@ a AS (SELECT frame_id, channel, CAST(count(*) FILTER (v <> 0) AS BIGINT) AS nonz
 SELECT *, round(nonzero / {GRID_H * GRID_W} * 100, 6) AS density_pct, round(least / 255 * 100 - CASE WHEN channel = 'z' THEN 0 ELSE 50 END, 6) AS least_m, round(most / 255 * 100 - CASE WHEN channel = 'z' THEN 0 ELSE 50 END, 6) AS most_m FROM a""",
     "enhanced_points": f"""WITH {POINTS}, e AS (SELECT *, least(3, greatest(0.2::DOUBLE, 3 / (z + 1))) AS w FROM pr)
 SELECT frame_id, idx, round(least(255, greatest(0, (x + 30) / 60 * 255 * w)) * w, 4) AS xe, round(least(255, greatest(0, (y + 15) / 30 * 255 * w)) * w, 4) AS ye, round(least(255, greatest(0, ln(z + 1) / ln(121) * 255 * w)) * w, 4) AS ze FROM e""",
+    "mask_resized": f"WITH {CELLS} SELECT frame_id, class_id, 4 * count(*) AS n FROM cells GROUP BY ALL",
     "weather_share": f"WITH {FRAMES} SELECT weather, count(*) AS n, round(count(*) / (SELECT count(*) FROM fw) * 100, 6) AS pct FROM fw GROUP BY weather",
     "time_weather_crosstab": f"WITH {FRAMES} SELECT time, {', '.join(f"count(*) FILTER (weather = '{w}') AS {w}" for w in _SIX)} FROM fw GROUP BY time",
     "challenging_by_time": f"WITH {FRAMES}, n AS (SELECT weather, time, count(*) AS n FROM fw WHERE weather IN ('rain', 'snow', 'fog') GROUP BY ALL) SELECT weather, time, n, CAST(sum(n) OVER (PARTITION BY weather) AS BIGINT) AS total, round(n / sum(n) OVER (PARTITION BY weather) * 100, 6) AS pct FROM n",

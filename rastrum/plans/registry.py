@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastrum.functions import conditions as c
-from rastrum.operators import boxes, curation, geometry, predictor, raster, reports
+from rastrum.operators import boxes, curation, geometry, predictor, raster, raster_np, reports
 from rastrum.operators import frames as fr
 from rastrum.plans import bridge
 from rastrum.plans.bridge import GRID_H, GRID_W, IMG_H, IMG_W
@@ -250,6 +250,31 @@ def enhanced_points(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("frame_id", "idx", F.round(x, 4).alias("xe"), F.round(y, 4).alias("ye"), F.round(z, 4).alias("ze"))
 
 
+@query
+def enhanced_raster(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted placement, blur, gap filling, dilation and scaling of every frame; filled cells and channel sums."""
+    p = geometry.project(bridge.points(spark, sf), CAMERA)
+    x, y, z = geometry.enhanced(F.col("x"), F.col("y"), F.col("z"))
+    sx, sy = F.col("px") * (GRID_W / CAMERA.width), F.col("py") * (GRID_H / CAMERA.height)
+    placed = p.select("frame_id", "idx", sy.cast("int").alias("y"), sx.cast("int").alias("x"), F.struct(*(F.least(F.lit(255), v.cast("int")).alias(n) for n, v in (("xe", x), ("ye", y), ("ze", z)))).alias("b"))
+    cells = placed.groupBy("frame_id", "y", "x").agg(F.max_by("b", "idx").alias("b")).select("frame_id", "y", "x", "b.*")
+    out = raster_np.per_frame(raster_np.dense(cells, GRID_H, GRID_W, ["xe", "ye", "ze"]), raster_np.enhanced)
+    return out.select("frame_id", "h", "w", "status", F.md5("data").alias("digest"))
+
+
+@query
+def mask_components(spark: SparkSession, sf: str) -> DataFrame:
+    """The 8-connected regions of each class of every mask, with their areas."""
+    return raster_np.component_areas(raster_np.dense(_cells(spark, sf), GRID_H, GRID_W, ["class_id"]))
+
+
+@query
+def mask_resized(spark: SparkSession, sf: str) -> DataFrame:
+    """Class histogram of every mask resampled to twice its size by nearest neighbour."""
+    big = raster_np.per_frame(raster_np.dense(_cells(spark, sf), GRID_H, GRID_W, ["class_id"]), lambda a: raster_np.nearest(a, 2 * GRID_H, 2 * GRID_W), 1)
+    return predictor.cells_of(big).groupBy("frame_id", "class_id").agg(F.count("*").alias("n"))
+
+
 # ---- reports
 
 
