@@ -34,7 +34,7 @@ SAMPLE_ROWS = 4000
 #: A mean over n letters may lie so much over sqrt(n) below the floor.
 SLACK = 20.0
 _BITS = 16
-_SLICE = 6 << 20
+_SLICE = 3 << 20
 _NEVER = np.float32(-60.0)
 
 SCRIPTS = ["none", "Latn", "Grek", "Cyrl", "Armn", "Hebr", "Arab", "Deva", "Thai", "Geor", "Kana", "Hani", "Hang", "Zzzz"]
