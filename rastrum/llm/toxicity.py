@@ -42,7 +42,7 @@ MAX_SHARE = 0.05
 WINDOW = 8
 SEED_Z = 3.3
 RESTART = 0.3
-STEPS = 12
+STEPS = 10
 #: Polarities from which a word may count as in the lexicon; labelled documents decide.
 LEVELS = (0.98, 0.95, 0.9, 0.8, 0.6)
 CHUNK = 2 << 20
@@ -105,6 +105,15 @@ def vocabulary(texts: DataFrame, labels: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("df", "toxic", "clean")))
 
 
+def _pack(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True) + len(x).to_bytes(8, "little")
+
+
+def _unpack(blob: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(blob[-8:], "little") * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(blob[:-8], decompressed_size=size, codec="zstd", asbytes=True), kind)
+
+
 def _lookup(words: np.ndarray):
     """A function from hashes to (places, index in the sorted words) of those among them."""
     near = np.zeros(1 << 20, dtype=bool)
@@ -120,7 +129,7 @@ def _lookup(words: np.ndarray):
 
 
 def cooccurrence(texts: DataFrame, words: np.ndarray, window: int) -> DataFrame:
-    """(i, j, n), i < j: how often two words of the vocabulary lie within ``window`` words, where that is more than once."""
+    """(i, j, n), i < j, packed by partition: how often two words of the vocabulary lie within ``window`` words, where that is more than once."""
     v, buckets = len(words), partitions(texts.sparkSession)
     of = _lookup(words)
     schema = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary()), ("counts", pa.binary())])
@@ -133,14 +142,9 @@ def cooccurrence(texts: DataFrame, words: np.ndarray, window: int) -> DataFrame:
             held.clear()
             out: list[list] = [[], [], []]
             for k, at in split_by((tx.mix64(key) % np.uint64(buckets)).astype(np.int64), buckets):
-                for x, y in zip(out, (k, key[at].tobytes(), np.minimum(n[at], 65535).astype(np.uint16).tobytes()), strict=True):
+                # sorted keys as differences, mostly small, and counts, mostly 1
+                for x, y in zip(out, (k, _pack(np.diff(key[at], prepend=np.uint64(0))), _pack(n[at].astype(np.uint32))), strict=True):
                     x.append(y)
-                for _ in range(int(n[at].max() // 65535)):  # counts beyond 16 bits follow in further rows
-                    n[at] -= np.minimum(n[at], 65535)
-                    more = at[n[at] > 0]
-                    if len(more):
-                        for x, y in zip(out, (k, key[more].tobytes(), np.minimum(n[more], 65535).astype(np.uint16).tobytes()), strict=True):
-                            x.append(y)
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
         for b in batches:
@@ -164,15 +168,18 @@ def cooccurrence(texts: DataFrame, words: np.ndarray, window: int) -> DataFrame:
         xs = [r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         if not xs:
             return
-        key, n = (np.frombuffer(b"".join(x[i] for x in xs), t) for i, t in enumerate((np.uint64, np.uint16)))
+        key = np.concatenate([np.cumsum(_unpack(x[0], np.uint64), dtype=np.uint64) for x in xs])
+        n = np.concatenate([_unpack(x[1], np.uint32) for x in xs])
         order = np.argsort(key)
         key = key[order]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         total = np.add.reduceat(n[order].astype(np.int64), edge)
         key = key[edge][total > 1]
-        yield pa.RecordBatch.from_arrays([pa.array((key // np.uint64(v)).astype(np.int32)), pa.array((key % np.uint64(v)).astype(np.int32)), pa.array(total[total > 1])], names=["i", "j", "n"])
+        packed = ((key // np.uint64(v)).astype(np.int32), (key % np.uint64(v)).astype(np.int32), total[total > 1])
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], names=["i", "j", "n"])
+        tx.release()
 
-    return texts.select("t").mapInArrow(send, "bucket int, pairs binary, counts binary").repartition(buckets, "bucket").mapInArrow(receive, "i int, j int, n long")
+    return texts.select("t").mapInArrow(send, "bucket int, pairs binary, counts binary").repartition(buckets, "bucket").mapInArrow(receive, "i binary, j binary, n binary")
 
 
 def polarities(edges: DataFrame, v: int, toxic: np.ndarray, clean: np.ndarray, restart: float, steps: int) -> np.ndarray:
@@ -185,8 +192,8 @@ def polarities(edges: DataFrame, v: int, toxic: np.ndarray, clean: np.ndarray, r
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = 0
             for b in batches:
-                i, j, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-                total = total + f(i, j, n)
+                for xs in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                    total = total + f(*(np.frombuffer(x, t) for x, t in zip(xs, (np.int32, np.int32, np.int64), strict=True)))
             if not isinstance(total, int):
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
 
@@ -227,6 +234,33 @@ class Lexicon:
     cut: float
 
 
+def _scored(w: tx.Words, of, weights: np.ndarray, docs: int, level: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and counts of lexicon terms of a slice's documents."""
+    at, k = of(w.hashes())
+    doc, x = w.doc[at], weights[k] if len(weights) else np.zeros(0)
+    doc, x = doc[x >= level], x[x >= level]
+    return np.round(np.bincount(doc, x, docs) / np.sqrt(np.maximum(1, w.counts)), 4), np.bincount(doc, minlength=docs)
+
+
+def _level_scores(labelled: DataFrame, words: np.ndarray, p: np.ndarray) -> DataFrame:
+    """(level, score, t, c): how many toxic and other labelled documents have a score above 0 at each level."""
+    keep = np.flatnonzero(p >= min(LEVELS))
+    of, weights = _lookup(words[keep]), p[keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            label = tx.column(b, "toxic").to_numpy(zero_copy_only=False)
+            for i, j in tx.slices(tx.column(b, "t")):
+                w = tx.words(*tx.raw(tx.column(b, "t").slice(i, j - i)))
+                for level in LEVELS:
+                    score, _ = _scored(w, of, weights, j - i, level)
+                    some = np.flatnonzero(score > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), level)), pa.array(score[some]), pa.array(label[i:j][some].astype(np.int32))], names=["level", "score", "toxic"])
+
+    found = labelled.select("t", "toxic").mapInArrow(run, "level double, score double, toxic int")
+    return found.groupBy("level", "score").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+
+
 def scores(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, terms) of every document: its score and how many of its words are in the lexicon."""
     of, weights = _lookup(lexicon.words), lexicon.weights
@@ -236,10 +270,8 @@ def scores(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col:
             ids = tx.column(b, "doc_id")
             for i, j in tx.slices(tx.column(b, "t")):
                 w = tx.words(*tx.raw(tx.column(b, "t").slice(i, j - i)))
-                at, k = of(w.hashes())
-                total = np.bincount(w.doc[at], weights[k], j - i) if len(weights) else np.zeros(j - i)
-                terms = np.bincount(w.doc[at], minlength=j - i)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.round(total / np.sqrt(np.maximum(1, w.counts)), 4)), pa.array(terms.astype(np.int64))], names=["doc_id", "score", "terms"])
+                score, terms = _scored(w, of, weights, j - i)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(score), pa.array(terms.astype(np.int64))], names=["doc_id", "score", "terms"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, terms long")
 
@@ -274,18 +306,17 @@ def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     edges = checkpoint(cooccurrence(texts, words, WINDOW))
     p = polarities(edges, len(words), toxic, clean, RESTART, STEPS)
     # of a few polarities to start the lexicon at, the one that tells labelled documents apart best, and its cut
+    held = _level_scores(small_join(texts, first, "doc_id", "inner", first.count()), words, p).toPandas()
     best, least = Lexicon(words[:0], np.zeros(0), np.inf), 0.0
-    labelled = small_join(docs.select(id_col, text_col), first.select(F.col("doc_id").alias(id_col)), id_col, "left_semi", first.count())
     for level in LEVELS:
-        keep = np.flatnonzero(p >= level)
-        held = scores(labelled, Lexicon(words[keep], p[keep], np.inf), id_col, text_col).join(first, "doc_id").groupBy("score").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where("score > 0").toPandas()
-        held = held.sort_values("score", ascending=False)
-        if len(held):
-            tp, fp = held["t"].cumsum().to_numpy(dtype=np.float64), held["c"].cumsum().to_numpy(dtype=np.float64)
+        own = held[held["level"] == level].sort_values("score", ascending=False)
+        if len(own):
+            tp, fp = own["t"].cumsum().to_numpy(dtype=np.float64), own["c"].cumsum().to_numpy(dtype=np.float64)
             f1 = 2 * tp / (tp + fp + nt)
             k = int(np.argmax(f1))
             if f1[k] > least:
-                best, least = Lexicon(words[keep], p[keep], float(held["score"].to_numpy()[k])), float(f1[k])
+                keep = np.flatnonzero(p >= level)
+                best, least = Lexicon(words[keep], p[keep], float(own["score"].to_numpy()[k])), float(f1[k])
     return best
 
 
