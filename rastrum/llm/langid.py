@@ -110,7 +110,7 @@ class LanguageModel:
     states: list[str] = field(init=False)
 
     def __post_init__(self) -> None:
-        self.states = [*self.languages, *ALONE.values()]
+        self.states = [*self.languages, *ALONE.values(), "und"]
 
     def label(self, buf: np.ndarray, offsets: np.ndarray, penalty: float) -> tuple[tx.Words, np.ndarray, np.ndarray]:
         """The words, the state of each and, by document, the mean log-likelihood of a byte under the chosen states."""
@@ -123,7 +123,7 @@ class LanguageModel:
             return w, np.zeros(0, dtype=np.uint8), mean
         script = word_scripts(w)
         alone = [i for i, s in enumerate(ALONE) if (script == _S[s]).any()]
-        score = np.zeros((n, k + len(alone)), dtype=np.float32)
+        score = np.zeros((n, k + len(alone) + (k == 0)), dtype=np.float32)  # without a trained language the rest is und
         if k:
             code = trigram_codes(buf, is_word, offsets)
             for j in range(k):
@@ -144,7 +144,7 @@ class LanguageModel:
         length = (w.end - w.start) * (script > 0)
         got = np.where(lab < k, score[np.arange(n), lab], 0) * (script > 0)
         mean = np.bincount(w.doc, got, docs) / np.maximum(1, np.bincount(w.doc, length, docs))
-        back = np.array([*range(k), *(k + i for i in alone)], dtype=np.uint8)
+        back = np.array([*range(k), *(k + i for i in alone), len(self.states) - 1], dtype=np.uint8)
         return w, back[lab], mean
 
 
@@ -221,9 +221,9 @@ def train(docs: DataFrame, label: str = "lang", id_col: str = "doc_id", text_col
     table = np.log(grams / grams.sum(axis=1, keepdims=True)).astype(np.float32) if langs else np.zeros((0, 1 << _BITS), np.float32)
     seen[0] = 0
     cand = seen >= 0.01 * np.maximum(1, seen.sum(axis=0, keepdims=True))
-    # a byte of training text costs p*log p on average; the floor is where letters carry no trace of any language
-    entropy = [float((np.exp(t) * t).sum()) for t in table.astype(np.float64)]
-    floor = min(entropy, default=0.0) * 1.35 - 1.0
+    # the floor lies well below what a byte of training text costs on average
+    cost = [float((own["n"] * table[j, own["code"]]).sum() / own["n"].sum()) for j, lang in enumerate(langs) if len(own := rows[(rows["lang"] == lang) & (rows["kind"] == 0)])]
+    floor = min(cost, default=0.0) * 1.35 - 1.0
     return LanguageModel(langs, table, cand, floor)
 
 
@@ -247,7 +247,7 @@ def spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     """One row for each span of each document: its language, first word and length, and the document's verdict."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*model.states, "und"], dtype=object)
+        names, und = np.array(model.states, dtype=object), len(model.states) - 1
         for b in batches:
             ids = tx.column(b, "doc_id")
             for i, j in tx.slices(tx.column(b, "t"), _SLICE):
@@ -262,11 +262,11 @@ def spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
                 doc = w.doc[at]
                 empty = np.flatnonzero(w.counts == 0)
                 docs_ = np.concatenate([doc, empty])
-                lang = np.concatenate([lab[at].astype(np.int64), np.full(len(empty), len(model.states))])
+                lang = np.concatenate([lab[at].astype(np.int64), np.full(len(empty), und)])
                 start = np.concatenate([at - w.first[doc], np.zeros(len(empty), np.int64)])
                 rank = np.arange(len(at)) - np.searchsorted(doc, doc)
-                verdict = np.where(ok | (best >= len(model.languages)), best, len(model.states))
-                verdict[w.counts == 0] = len(model.states)
+                verdict = np.where(ok | (best >= len(model.languages)), best, und)
+                verdict[w.counts == 0] = und
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(i, j - i).take(pa.array(docs_)),

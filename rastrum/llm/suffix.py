@@ -186,6 +186,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
             lists = tx.column(b, "places").slice(i, j - i)
             where = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(j - i), np.diff(lists.offsets.to_numpy()))
+            fits = where + k <= w.counts[row]  # another row with this id may be longer
+            where, row = where[fits], row[fits]
             # windows that hold a repeated anchor: a difference array over the slice's words
             at = w.first[row] + where
             diff = np.zeros(len(h) + 1, dtype=np.int64)

@@ -84,15 +84,18 @@ def matches(docs: DataFrame, q: Queries, n: int, id_col: str, text_col: str) ->
     return d.mapInArrow(run, "doc_id long, grams binary")
 
 
+def _distinct(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The (row, gram) of a batch, each once."""
+    blobs = tx.column(b, "grams").to_pylist()
+    row = np.repeat(np.arange(len(blobs)), [len(x) // 4 for x in blobs])
+    pair = np.unique(row << 32 | np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64))
+    return pair >> 32, pair & 0xFFFFFFFF
+
+
 def _local(b: pa.RecordBatch, q: Queries, weight: np.ndarray, lists: int) -> tuple[np.ndarray, ...]:
     """(document, query, list, score) entries of a batch."""
     ids = tx.column(b, "doc_id").to_numpy(zero_copy_only=False)
-    blobs = [np.unique(np.frombuffer(x, np.uint32)) for x in tx.column(b, "grams").to_pylist()]
-    if not blobs:
-        e = np.zeros(0, np.int64)
-        return e, e, e, e
-    g = np.concatenate(blobs).astype(np.int64)
-    row = np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])
+    row, g = _distinct(b)
     many = q.first[g + 1] - q.first[g]
     at = np.repeat(q.first[g] - np.cumsum(many) + many, many) + np.arange(many.sum())
     row, gram, query = np.repeat(row, many), np.repeat(g, many), q.query[at]
@@ -137,15 +140,16 @@ RESULT = "item_id, place, doc_id, score"
 
 def _search(docs: DataFrame, q: Queries, k: int, n: int, lists: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    found = checkpoint(matches(docs, q, n, id_col, text_col))
+    # rows with one id become one document
+    joined = F.aggregate(F.collect_list("grams"), F.lit(b""), lambda a, x: F.concat(a, x)).alias("grams")
+    found = checkpoint(matches(docs, q, n, id_col, text_col).groupBy("doc_id").agg(joined))
     total = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col).distinct().count()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(q.grams), dtype=np.int64)
         for b in batches:
-            blobs = tx.column(b, "grams").to_pylist()
-            if blobs:
-                df += np.bincount(np.frombuffer(b"".join(blobs), np.uint32), minlength=len(df))
+            _, g = _distinct(b)
+            df += np.bincount(g, minlength=len(df))
         nz = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(nz.astype(np.int32)), pa.array(df[nz])], names=["gram", "df"])
 
