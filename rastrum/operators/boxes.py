@@ -55,7 +55,8 @@ def merged_boxes(boxes: DataFrame) -> DataFrame:
     """Greedy merge within frame and class, as a fold over boxes by falling area.
 
     The first kept box that overlaps by more than MERGE_IOU grows in place to
-    the union rectangle, which later boxes are then tested against.
+    the union rectangle, which later boxes are then tested against.  One
+    exchange by frame serves this and all later steps by frame.
     """
     box = F.struct(*(F.col(c).alias(c) for c in ("x0", "y0", "x1", "y1")))
     items = F.sort_array(F.collect_list(F.struct((-F.col("area")).alias("k"), "seq", box.alias("b"))))
@@ -69,7 +70,7 @@ def merged_boxes(boxes: DataFrame) -> DataFrame:
         grown = F.transform(kept, lambda k, i: F.when(i + 1 == hit, union(k, item["b"])).otherwise(k))
         return F.when(hit > 0, grown).otherwise(F.array_append(kept, item["b"]))
 
-    grouped = boxes.groupBy("frame_id", "class_id").agg(F.min("seq").alias("first_seq"), items.alias("items"))
+    grouped = boxes.repartition("frame_id").groupBy("frame_id", "class_id").agg(F.min("seq").alias("first_seq"), items.alias("items"))
     folded = grouped.select("frame_id", "class_id", "first_seq", F.posexplode(F.aggregate("items", empty, step)).alias("pos", "b"))
     out = folded.select("frame_id", "class_id", "first_seq", "pos", "b.x0", "b.y0", "b.x1", "b.y1")
     return out.withColumn("area", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("bigint"))

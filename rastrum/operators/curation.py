@@ -13,8 +13,10 @@ SEED = "42"
 def class_histogram(cells: DataFrame, total_cells: int) -> DataFrame:
     """(frame_id, class_id, n, pct) of sparse label cells; class 0 fills the rest of the raster."""
     seen = cells.groupBy("frame_id", "class_id").agg(F.count("*").alias("n"))
-    rest = seen.groupBy("frame_id").agg((F.lit(total_cells) - F.sum("n")).alias("n")).where("n > 0").select("frame_id", F.lit(0).alias("class_id"), "n")
-    return seen.unionByName(rest).withColumn("pct", percent(F.col("n"), F.lit(total_cells)))
+    # the rest is added to the frame's own list, so that cells are made and counted once
+    per = seen.groupBy("frame_id").agg(F.collect_list(F.struct("class_id", "n")).alias("l"), (F.lit(total_cells).cast("bigint") - F.sum("n")).alias("rest"))
+    whole = F.when(F.col("rest") > 0, F.array_append("l", F.struct(F.lit(0).alias("class_id"), F.col("rest").alias("n")))).otherwise(F.col("l"))
+    return per.select("frame_id", F.inline(whole)).withColumn("pct", percent(F.col("n"), F.lit(total_cells)))
 
 
 def frame_stats(hist: DataFrame) -> DataFrame:
