@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CONDITIONS = ["day_fair", "day_rain", "night_fair", "night_rain", "snow"]
-WET = ["rain", "sleet", "hail", "storm", "drizzle"]
-CLASS_NAMES = {0: "background", 1: "ignore", 2: "vehicle", 3: "sign", 4: "cyclist", 5: "pedestrian"}
-SOURCE_CLASSES = {
-    "Vehicle": 2,
-    "VulnerableVehicle": 4,
-    "Pedestrian": 5,
-    "PoleObject": 3,
-    "TrafficSign": 3,
-    "TrafficLight": 3,
-    "TrafficSignal": 3,
-    "TrafficGuide": 3,
-}
+WEATHER_NAMES = ("fair", "rain")
+#: Both kinds of weather by day and by night, and snow at any time.
+CONDITIONS = [*(f"{time}_{weather}" for time in ("day", "night") for weather in WEATHER_NAMES), "snow"]
+WET = "drizzle storm hail sleet rain".split()
+#: Label ids in order.
+LABELS = "background ignore vehicle sign cyclist pedestrian".split()
+CLASS_NAMES = dict(enumerate(LABELS))
+_SOURCES = {"vehicle": ["Vehicle"], "cyclist": ["VulnerableVehicle"], "pedestrian": ["Pedestrian"], "sign": ["PoleObject", *(f"Traffic{kind}" for kind in ("Guide", "Light", "Sign", "Signal"))]}
+SOURCE_CLASSES = {source: LABELS.index(label) for label, sources in _SOURCES.items() for source in sources}
 
 
 def weather_bucket(weather: Column) -> Column:

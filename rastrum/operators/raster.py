@@ -43,9 +43,9 @@ def density(raster: DataFrame, reach: int = 3) -> DataFrame:
 
 def lidar_labels(raster: DataFrame, cells: DataFrame, height: int) -> DataFrame:
     """Labels of covered cells: ignore where sparse, far or at the edge; an object class where it is near and enough of it survives; else 0."""
-    d = density(raster).join(cells.select("frame_id", "y", "x", F.col("class_id").alias("sam")), ["frame_id", "y", "x"], "left")
+    d = density(raster).join(cells.select("frame_id", "y", "x", F.col("class_id").alias("seg")), ["frame_id", "y", "x"], "left")
     ignore = (F.col("cnt") <= SPARSE) | (F.col("zb") >= FAR_BYTE) | edge(F.col("y"), height, 0.005, 3)
-    d = d.withColumn("ignore", ignore).withColumn("own", F.when(F.col("sam").between(2, 5) & ~ignore & (F.col("zb") <= NEAR_BYTE), F.col("sam")))
+    d = d.withColumn("ignore", ignore).withColumn("own", F.when(F.col("seg").between(2, 5) & ~ignore & (F.col("zb") <= NEAR_BYTE), F.col("seg")))
     n = F.count("own").over(W.partitionBy("frame_id", "own"))
     label = F.when(F.col("ignore"), 1).when(F.col("own").isNotNull() & (n >= ENOUGH), F.col("own")).otherwise(0)
     return d.select("frame_id", "y", "x", label.alias("label"))

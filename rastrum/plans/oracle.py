@@ -127,8 +127,8 @@ FROM (SELECT *, lpad(CAST(event_id AS STRING), 9, '0') AS frame_id FROM events)
     "project_points": f"WITH {POINTS} SELECT frame_id, idx, camera_id, px, py, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM pr",
     "lidar_raster": f"WITH {POINTS} SELECT frame_id, y, x, xb, yb, zb FROM r",
     "lidar_density": f"WITH {POINTS} SELECT frame_id, y, x, cnt FROM de",
-    "lidar_labels": f"""WITH {POINTS}, {CELLS}, l0 AS (SELECT de.*, cells.class_id AS sam, cnt <= 12 OR zb >= 230 OR de.y < 3 OR de.y >= {GRID_H} - 3 AS ig FROM de LEFT JOIN cells ON cells.frame_id = de.frame_id AND cells.y = de.y AND cells.x = de.x),
-l1 AS (SELECT *, CASE WHEN sam BETWEEN 2 AND 5 AND NOT ig AND zb <= 153 THEN sam END AS own FROM l0)
+    "lidar_labels": f"""WITH {POINTS}, {CELLS}, l0 AS (SELECT de.*, cells.class_id AS seg, cnt <= 12 OR zb >= 230 OR de.y < 3 OR de.y >= {GRID_H} - 3 AS ig FROM de LEFT JOIN cells ON cells.frame_id = de.frame_id AND cells.y = de.y AND cells.x = de.x),
+l1 AS (SELECT *, CASE WHEN seg BETWEEN 2 AND 5 AND NOT ig AND zb <= 153 THEN seg END AS own FROM l0)
 SELECT frame_id, y, x, CASE WHEN ig THEN 1 WHEN own IS NOT NULL AND count(own) OVER (PARTITION BY frame_id, own) >= 5 THEN own ELSE 0 END AS label FROM l1""",
     "raster_qa": f"""WITH {POINTS}, l AS (SELECT frame_id, 'x' AS channel, xb AS v FROM r UNION ALL SELECT frame_id, 'y', yb FROM r UNION ALL SELECT frame_id, 'z', zb FROM r),
 a AS (SELECT frame_id, channel, CAST(count(*) FILTER (v <> 0) AS BIGINT) AS nonzero, count(DISTINCT v) AS values, min(v) AS least, max(v) AS most FROM l GROUP BY ALL)

@@ -130,7 +130,7 @@ def test_sizes(spark):
     assert tuple(r) == (1024, 576, 1363, 768)
 
 
-def reference_labels(r, sam, h):
+def reference_labels(r, seg, h):
     """The label rules on a dense raster, step by step."""
     x, y, z = (r[:, :, i].astype(int) for i in range(3))
     cov = ((x > 3) | (y > 3) | (z > 3)) & (z < 255)
@@ -141,7 +141,7 @@ def reference_labels(r, sam, h):
     out = np.zeros(cov.shape, int)
     out[ignore] = 1
     for c in range(2, 6):
-        over = cov & (sam == c)
+        over = cov & (seg == c)
         if over.sum() >= 5:
             ok = over & (cnt >= 6) & (z <= 153) & ~ignore
             if ok.sum() >= 5:
@@ -156,10 +156,10 @@ def test_lidar_labels(spark):
     for f in range(6):
         r = rng.integers(0, 256, (h, w, 3)) * (rng.random((h, w, 1)) < 0.15 + 0.15 * f)
         r[:, :, 2] = np.where(rng.random((h, w)) < 0.6, r[:, :, 2] % 154, r[:, :, 2])
-        sam = rng.choice([0, 2, 3, 4, 5], (h, w), p=[0.5, 0.3, 0.15, 0.04, 0.01])
-        cov, out = reference_labels(r, sam, h)
+        seg = rng.choice([0, 2, 3, 4, 5], (h, w), p=[0.5, 0.3, 0.15, 0.04, 0.01])
+        cov, out = reference_labels(r, seg, h)
         cells += [(str(f), int(y), int(x), *map(int, r[y, x])) for y, x in zip(*np.nonzero(r.any(axis=2)), strict=True)]
-        masks += [(str(f), int(y), int(x), int(sam[y, x])) for y, x in zip(*np.nonzero(sam), strict=True)]
+        masks += [(str(f), int(y), int(x), int(seg[y, x])) for y, x in zip(*np.nonzero(seg), strict=True)]
         want |= {(str(f), int(y), int(x), int(out[y, x])) for y, x in zip(*np.nonzero(cov), strict=True)}
     got = raster.lidar_labels(spark.createDataFrame(cells, "frame_id string, y int, x int, xb int, yb int, zb int"), spark.createDataFrame(masks, "frame_id string, y int, x int, class_id int"), h)
     assert {tuple(r) for r in got.collect()} == want and len({v for *_, v in want}) >= 4
