@@ -19,7 +19,7 @@ MARGIN = 10
 
 @dataclass(frozen=True)
 class Camera:
-    """Extrinsic rows (3 x 4, LiDAR to camera), focal lengths, centre, distortion, half field of view, image size."""
+    """Numbers, or columns where each row has its own camera: extrinsic rows (3 x 4, LiDAR to camera), focal lengths, centre, distortion, half field of view, image size."""
 
     rows: Sequence[Sequence[float]]
     fx: float
@@ -41,7 +41,22 @@ def lidar_to_camera(t_lidar: Sequence[Sequence[float]], t_cam: Sequence[Sequence
     return [[sum(inv[i][k] * full[k][j] for k in range(4)) for j in range(4)] for i in range(3)]
 
 
-def project(points: DataFrame, cam: Camera) -> DataFrame:
+def calibrated(points: DataFrame, calib: DataFrame) -> DataFrame:
+    """The projection of each point by the cameras of its frame.
+
+    ``calib`` has (frame_id, camera_id, t_lidar and t_cam of 16 numbers by row,
+    k of 9, dist of 4, fov as half angle, w, h); the matrix product is made
+    once a camera, before the join.
+    """
+    grid = lambda c: [[F.col(c)[4 * i + j] for j in range(4)] for i in range(4)]
+    rows = F.array(*(F.array(*r) for r in lidar_to_camera(grid("t_lidar"), grid("t_cam"))))
+    cams = calib.select("frame_id", "camera_id", rows.alias("m"), "k", "dist", "fov", "w", "h")
+    col = F.col
+    cam = Camera([[col("m")[i][j] for j in range(4)] for i in range(3)], col("k")[0], col("k")[4], col("k")[2], col("k")[5], [col("dist")[i] for i in range(4)], col("fov"), col("w"), col("h"))
+    return project(points.join(cams, "frame_id"), cam, col("camera_id"))
+
+
+def project(points: DataFrame, cam: Camera, camera_id: Column | None = None) -> DataFrame:
     """Points in front of the camera, in its field of view and off the image margin, with half-to-even pixel coordinates."""
     x, y, z = (F.col(c) for c in ("x", "y", "z"))
     moved = F.struct(*((r[0] * x + r[1] * y + r[2] * z + r[3]).alias(n) for r, n in zip(cam.rows, "xyz", strict=True)))
@@ -60,9 +75,10 @@ def project(points: DataFrame, cam: Camera) -> DataFrame:
     u = lambda p: F.when(p["r"] > 0, cam.fx * p["td"] * p["x"] / p["r"] + cam.cx).otherwise(F.lit(cam.cx))
     v = lambda p: F.when(p["r"] > 0, cam.fy * p["td"] * p["y"] / p["r"] + cam.cy).otherwise(F.lit(cam.cy))
     p = F.filter(then(p, u=u, v=v), lambda p: (p["u"] >= MARGIN) & (p["u"] < cam.width - MARGIN) & (p["v"] >= MARGIN) & (p["v"] < cam.height - MARGIN))
-    df = points.select("frame_id", "idx", F.inline(p))
+    one = F.lit(1) if camera_id is None else camera_id
+    df = points.select("frame_id", "idx", one.alias("camera_id"), F.inline(p))
     pixel = lambda c: F.least(F.lit(65535), F.greatest(F.lit(0), F.rint(c).cast("int")))
-    return df.select("frame_id", "idx", F.lit(1).alias("camera_id"), pixel(F.col("u")).alias("px"), pixel(F.col("v")).alias("py"), "x", "y", "z")
+    return df.select("frame_id", "idx", "camera_id", pixel(F.col("u")).alias("px"), pixel(F.col("v")).alias("py"), "x", "y", "z")
 
 
 def front_share(points: DataFrame) -> DataFrame:

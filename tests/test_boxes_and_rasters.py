@@ -114,6 +114,19 @@ def test_projection(spark):
         assert geometry.project(spark.createDataFrame(rows[:1], POINT), geometry.Camera(CAM.rows, 1.0, 1.0, cx, 50.0, CAM.k, 1.5, 100, 100)).count() == n
 
 
+def test_calibrated_projection_equals_the_literal_one(spark):
+    lidar, cam = [[0, -1, 0, 0.5], [1, 0, 0, -0.2], [0, 0, 1, 0.1], [0, 0, 0, 1]], [[1, 0, 0, 0.3], [0, 0, -1, 0], [0, 1, 0, 1.0], [0, 0, 0, 1]]
+    r = random.Random(4)
+    points = spark.createDataFrame([("f", i, r.uniform(-9, 9), r.uniform(-9, 9), r.uniform(-9, 9)) for i in range(300)] + [("g", 0, 1.0, 1.0, 1.0)], POINT)
+    dist = (0.05, -0.01, 0.002, -0.0005)
+    flat = lambda m: [float(v) for row in m for v in row]
+    calib = spark.createDataFrame([("f", 3, flat(lidar), flat(cam), [300.0, 0.0, 320.0, 0.0, 310.0, 240.0, 0.0, 0.0, 1.0], list(dist), 1.2, 640, 480)], "frame_id string, camera_id int, t_lidar array<double>, t_cam array<double>, k array<double>, dist array<double>, fov double, w int, h int")
+    literal = geometry.Camera(geometry.lidar_to_camera(lidar, cam), 300.0, 310.0, 320.0, 240.0, dist, 1.2, 640, 480)
+    want = {(r["idx"], r["px"], r["py"]) for r in geometry.project(points.where("frame_id = 'f'"), literal).collect()}
+    got = geometry.calibrated(points, calib).collect()
+    assert {(r["idx"], r["px"], r["py"]) for r in got} == want and len(want) > 20 and {r["camera_id"] for r in got} == {3}
+
+
 def test_raster_keeps_the_last_point(spark):
     df = spark.createDataFrame([("f", 0, 1, 10, 10, -50.0, 0.0, 0.0), ("f", 1, 1, 10, 10, 0.0, 50.0, 60.0), ("f", 2, 2, 10, 10, 9.0, 9.0, 9.0)], "frame_id string, idx long, camera_id int, px int, py int, x double, y double, z double")
     r = geometry.rasterise(df, 100, 100, 100, 100).collect()
