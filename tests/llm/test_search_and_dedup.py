@@ -164,3 +164,10 @@ def test_embeddings_recall_and_oddities(spark):
 def test_extra_columns_stay_out(spark):
     assert ngram_join.similar_pairs(documents(spark, corpus(0, n=4))).columns == [c.split()[0] for c in ngram_join.RESULT.split(", ")]
     assert "grams" in SCHEMA and random
+
+
+def test_join_where_most_texts_are_empty(spark):
+    rows = [(i, "" if i % 5 else None, "en", "s") for i in range(40)] + [(100, "only one text here", "en", "s")]
+    assert ngram_join.similar_pairs(documents(spark, rows).repartition(8)).count() == 0
+    assert ngram_join.similar_pairs(documents(spark, rows[:40])).count() == 0
+    assert ngram_join.deduplicated(documents(spark, rows)).count() == 41
