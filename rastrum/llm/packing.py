@@ -4,7 +4,7 @@
    with equal sketches (copies) share a node.
 2. Nodes that agree in one of ``ROWS`` hashes are neighbours to consider: in
    each bucket, sorted by the following hashes, a node meets the ``REACH``
-   nodes after it.  The similarity of two nodes is the share of equal hashes;
+   nodes after it.  The similarity of two nodes is the share of equal hashes, estimated from their low bytes;
    pairs of at least ``LEAST`` count and each node keeps its ``NEIGHBOURS``
    most similar ones.
 3. In each component of that graph a walk starts at the unvisited node of
@@ -62,8 +62,8 @@ def min_hashes(w: tx.Words, n: int = N) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, sketch) of documents with words; a sketch is SKETCH 32-bit hashes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sketch", pa.binary())])
+    """(doc_id, n_words, sketch, low) of documents with words: SKETCH 32-bit hashes, and the low byte of each, which is all that comparing takes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sketch", pa.binary()), ("low", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,11 +74,12 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 if not len(some):
                     continue
                 own = tx.Words(w.buf, w.start, w.end, np.searchsorted(some, w.doc), np.append(w.first[some], len(w.start)), w.offsets)
-                rows = [r.tobytes() for r in min_hashes(own)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(some)), pa.array(w.counts[some]), pa.array(rows, pa.binary())], schema=schema)
+                found = min_hashes(own)
+                rows = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (found, found.astype(np.uint8))]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(some)), pa.array(w.counts[some]), *rows], schema=schema)
 
     d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("t"))
-    return d.mapInArrow(run, "doc_id long, n_words long, sketch binary")
+    return d.mapInArrow(run, "doc_id long, n_words long, sketch binary, low binary")
 
 
 def neighbours(nodes: DataFrame, least: float = LEAST, keep: int = NEIGHBOURS) -> DataFrame:
@@ -117,16 +118,17 @@ def neighbours(nodes: DataFrame, least: float = LEAST, keep: int = NEIGHBOURS) -
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(tx.column(b, c).to_pylist()), dtype=np.uint32).reshape(-1, SKETCH) for c in ("sa", "sb"))
-            sim = (x == y).mean(axis=1) if len(x) else np.zeros(0)
+            x, y = (np.frombuffer(b"".join(tx.column(b, c).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) for c in ("sa", "sb"))
+            # one in 256 bytes agrees by chance
+            sim = np.round(((x == y).mean(axis=1) * 256 - 1) / 255, 6) if len(x) else np.zeros(0)
             ok = pa.array(np.flatnonzero(sim >= least))
             yield pa.RecordBatch.from_arrays([tx.column(b, "a").take(ok), tx.column(b, "b").take(ok), pa.array(sim).take(ok)], names=["a", "b", "sim"])
 
-    met = nodes.mapInArrow(send, "bucket int, keys binary, nexts binary, nodes binary").repartition(buckets, "bucket").mapInArrow(receive, "a long, b long")
+    met = nodes.select("node", "sketch").mapInArrow(send, "bucket int, keys binary, nexts binary, nodes binary").repartition(buckets, "bucket").mapInArrow(receive, "a long, b long")
     met = checkpoint(met.where("a <> b").distinct())
-    rows = nodes.count()
-    both = small_join(met, nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a", rows=rows)
-    both = small_join(both, nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b", rows=rows)
+    rows = nodes.count() * 4  # counted as rows of 16 bytes
+    both = small_join(met, nodes.select(F.col("node").alias("a"), F.col("low").alias("sa")), "a", rows=rows)
+    both = small_join(both, nodes.select(F.col("node").alias("b"), F.col("low").alias("sb")), "b", rows=rows)
     sims = both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, sim double")
     each = sims.unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     return each.selectExpr("*", "row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS place").where(F.col("place") <= keep).select("a", "b", "sim")
@@ -161,14 +163,14 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS
     docs_ = checkpoint(sketches(docs, id_col, text_col))
     total = docs_.agg(F.sum("n_words")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    nodes = checkpoint(docs_.groupBy("sketch").agg(F.min("doc_id").alias("node")))
+    nodes = checkpoint(docs_.groupBy("sketch").agg(F.min("doc_id").alias("node"), F.first("low").alias("low")))
     near = neighbours(nodes)
     edges = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
     edges = checkpoint(edges)
     comp = components(edges)
     paths = edges.join(comp.withColumnRenamed("node", "a"), "a").groupBy("comp").applyInPandas(walk, "node long, degree long, path long, place long")
     # the node of a document is found by its sketch; nodes without neighbours are paths of their own
-    placed = docs_.join(nodes, "sketch").select("doc_id", "n_words", "node").join(paths, "node", "left")
+    placed = docs_.join(nodes.select("sketch", "node"), "sketch").select("doc_id", "n_words", "node").join(paths, "node", "left")
     placed = placed.select("doc_id", "n_words", "node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("path", "node").alias("path"), F.coalesce("place", F.lit(0)).alias("place"))
     placed.withColumn("shard", F.pmod(F.xxhash64("path"), F.lit(shards))).createOrReplaceTempView("rastrum_pack_placed")
     return spark.sql(

@@ -91,7 +91,7 @@ def test_neighbour_recall(spark):
     rows = [r for r in corpus(2, n=60, copies=60) if words(r[1])]
     d = documents(spark, rows)
     sk = common.checkpoint(packing.sketches(d))
-    nodes = sk.selectExpr("doc_id AS node", "sketch")
+    nodes = sk.selectExpr("doc_id AS node", "sketch", "low")
     got = defaultdict(set)
     for r in packing.neighbours(nodes).collect():
         got[r["a"]].add(r["b"])
