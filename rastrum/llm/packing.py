@@ -2,11 +2,11 @@
 
 1. Every document gets ``SKETCH`` min-hashes of its word trigrams.  Documents
    with equal sketches (copies) share a node.
-2. Nodes that agree in one of ``ROWS`` hashes are neighbours to consider: in
-   each bucket, sorted by the following hashes, a node meets the ``REACH``
-   nodes after it.  The similarity of two nodes is the share of equal hashes, estimated from their low bytes;
-   pairs of at least ``LEAST`` count and each node keeps its ``NEIGHBOURS``
-   most similar ones.
+2. Nodes that agree in one of ``ROWS`` hashes are neighbours to consider; all
+   pairs of a bucket are met, however large it is.  The similarity of two nodes
+   is the share of equal hashes, estimated from their low bytes; pairs of at
+   least ``LEAST`` count and each node keeps its ``NEIGHBOURS`` most similar
+   ones.  A bucket hands on each node's best only, which loses none of them.
 3. In each component of that graph a walk starts at the unvisited node of
    lowest degree, goes on to the most similar unvisited neighbour and ends
    where there is none; then the next walk starts.
@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import checkpoint, components, partitions, small_join, split_by
+from .common import checkpoint, components, partitions, split_by
 
 N = 3
 SKETCH = 64
 ROWS = 24
-REACH = 3
+#: Buckets of up to so many nodes are compared together, larger ones in blocks of rows and columns.
+SMALL = 64
+BLOCK = (256, 1024)
 LEAST = 0.15
 NEIGHBOURS = 4
 WINDOW = 2048
@@ -82,10 +84,70 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return d.mapInArrow(run, "doc_id long, n_words long, sketch binary, low binary")
 
 
+def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of their SKETCH low bytes agree, by rows."""
+    return (x == y).view(np.uint64).sum(axis=1) * np.uint64(0x0101010101010101) >> np.uint64(56)
+
+
+def _best(a: np.ndarray, b: np.ndarray, n: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each a's ``keep`` distinct b of greatest n, the smaller first where equal."""
+    order = np.lexsort((b, -n, a))
+    a, b, n = a[order], b[order], n[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (n[1:] != n[:-1])
+    a, b, n = a[new], b[new], n[new]
+    first = np.searchsorted(a, a)
+    ok = np.arange(len(a)) - first < keep
+    return a[ok], b[ok], n[ok]
+
+
+def _meet_small(key: np.ndarray, node: np.ndarray, low: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of equal keys (sorted) that agree in ``need`` bytes, both ways."""
+    r, same = 1, np.flatnonzero(key[1:] == key[:-1])
+    while len(same):
+        for i in range(0, len(same), 1 << 16):
+            x = same[i : i + (1 << 16)]
+            n = _equal(low[x], low[x + r]).astype(np.int64)
+            ok = (n >= need) & (node[x] != node[x + r])
+            a, b, n = node[x[ok]], node[x[ok] + r], n[ok]
+            yield np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([n, n])
+        r += 1
+        same = same[same + r < len(key)]
+        same = same[key[same + r] == key[same]]
+
+
+def _meet_large(node: np.ndarray, low: np.ndarray, need: int, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The ``keep`` most similar of each of the nodes (sorted) of one bucket, all pairs met in blocks."""
+    t = np.ascontiguousarray(low.T)
+    for i in range(0, len(node), BLOCK[0]):
+        rows = slice(i, i + BLOCK[0])
+        for j in range(0, len(node), BLOCK[1]):
+            cols = slice(j, j + BLOCK[1])
+            n = np.zeros((len(node[rows]), len(node[cols])), dtype=np.uint8)
+            eq = np.empty(n.shape, dtype=bool)
+            for h in t:
+                np.equal(h[rows, None], h[None, cols], out=eq)
+                n += eq.view(np.uint8)
+            if node[rows][0] <= node[cols][-1] and node[cols][0] <= node[rows][-1]:
+                n[node[rows, None] == node[None, cols]] = 0
+            line = np.arange(len(n))
+            for _ in range(min(keep, n.shape[1])):
+                best = n.argmax(axis=1)  # the first, of smallest id
+                found = n[line, best].astype(np.int64)
+                ok = found >= need
+                if not ok.any():
+                    break
+                yield node[rows][ok], node[cols][best[ok]], found[ok]
+                n[line, best] = 0
+
+
 def neighbours(nodes: DataFrame, least: float = LEAST, keep: int = NEIGHBOURS) -> DataFrame:
     """(a, b, sim): each node a's most similar nodes b."""
     buckets = partitions(nodes.sparkSession)
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("nexts", pa.binary()), ("nodes", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("lows", pa.binary())])
+    # one in 256 bytes agrees by chance
+    sims = np.round((np.arange(SKETCH + 1) / SKETCH * 256 - 1) / 255, 6)
+    need = max(1, int(np.searchsorted(sims, least)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,45 +155,50 @@ def neighbours(nodes: DataFrame, least: float = LEAST, keep: int = NEIGHBOURS) -
             if not len(ids):
                 continue
             sk = np.frombuffer(b"".join(tx.column(b, "sketch").to_pylist()), dtype=np.uint32).reshape(len(ids), SKETCH)
+            low = sk.astype(np.uint8)
             key = (np.arange(ROWS, dtype=np.uint64)[:, None] << np.uint64(32) | sk[:, :ROWS].T).ravel()
-            after = (sk[:, 1 : ROWS + 1].T.astype(np.uint64) << np.uint64(32) | sk[:, 2 : ROWS + 2].T).ravel()
-            node = np.tile(ids, ROWS)
+            at_node = np.tile(np.arange(len(ids)), ROWS)
             out: list[list] = [[], [], [], []]
             for k, at in split_by((tx.mix64(key) % np.uint64(buckets)).astype(np.int64), buckets):
-                for x, y in zip(out, (k, key[at].tobytes(), after[at].tobytes(), node[at].tobytes()), strict=True):
+                for x, y in zip(out, (k, key[at].tobytes(), ids[at_node[at]].tobytes(), low[at_node[at]].tobytes()), strict=True):
                     x.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        xs = [(k, a, n) for b in batches for k, a, n in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        xs = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
         if not xs:
             return
-        key, after, node = (np.frombuffer(b"".join(x[i] for x in xs), t) for i, t in enumerate((np.uint64, np.uint64, np.int64)))
-        order = np.lexsort((node, after, key))
-        key, node = key[order], node[order]
-        found = []
-        for r in range(1, REACH + 1):
-            same = np.flatnonzero(key[r:] == key[:-r])
-            found.append(np.stack([node[same], node[same + r]], axis=1))
-        p = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(tx.column(b, c).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) for c in ("sa", "sb"))
-            # one in 256 bytes agrees by chance
-            sim = np.round(((x == y).mean(axis=1) * 256 - 1) / 255, 6) if len(x) else np.zeros(0)
-            ok = pa.array(np.flatnonzero(sim >= least))
-            yield pa.RecordBatch.from_arrays([tx.column(b, "a").take(ok), tx.column(b, "b").take(ok), pa.array(sim).take(ok)], names=["a", "b", "sim"])
-
-    met = nodes.select("node", "sketch").mapInArrow(send, "bucket int, keys binary, nexts binary, nodes binary").repartition(buckets, "bucket").mapInArrow(receive, "a long, b long")
-    met = checkpoint(met.where("a <> b").distinct())
-    rows = nodes.count() * 4  # counted as rows of 16 bytes
-    both = small_join(met, nodes.select(F.col("node").alias("a"), F.col("low").alias("sa")), "a", rows=rows)
-    both = small_join(both, nodes.select(F.col("node").alias("b"), F.col("low").alias("sb")), "b", rows=rows)
-    sims = both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, sim double")
-    each = sims.unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    return each.selectExpr("*", "row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS place").where(F.col("place") <= keep).select("a", "b", "sim")
+        key, node, low = (np.frombuffer(b"".join(x[i] for x in xs), t) for i, t in enumerate((np.uint64, np.int64, np.uint8)))
+        del xs
+        order = np.lexsort((node, key))
+        key, node, low = key[order], node[order], low.reshape(-1, SKETCH)[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            small = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+            yield from _meet_small(key[small], node[small], low[small], need)
+            for i in np.flatnonzero(size > SMALL):
+                own = slice(first[i], first[i] + size[i])
+                yield from _meet_large(node[own], low[own], need, keep)
+
+        total = 0
+        for x in pairs():
+            held.append(x)
+            total += len(x[0])
+            if total > 1 << 20:
+                held = [_best(*(np.concatenate(y) for y in zip(*held, strict=True)), keep)]
+                total = len(held[0][0]) // 2  # what stays is met again only when as much has come
+        if held:
+            a, b, n = _best(*(np.concatenate(y) for y in zip(*held, strict=True)), keep)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sims[n])], names=["a", "b", "sim"])
+        tx.release()
+
+    met = nodes.select("node", "sketch").mapInArrow(send, "bucket int, keys binary, nodes binary, lows binary").repartition(buckets, "bucket").mapInArrow(receive, "a long, b long, sim double")
+    # a pair that two nodes of one id gave, or several buckets, counts once
+    met = met.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    return met.selectExpr("*", "row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS place").where(F.col("place") <= keep).select("a", "b", "sim")
 
 
 def walk(edges: pd.DataFrame) -> pd.DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import random
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rastrum.llm import common, langid, mixing, packing, queries, secrets
@@ -153,3 +156,36 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     size = {r["doc_id"]: len(words(r["text"])) for r in frames["source_mixture"].collect() if words(r["text"])}
     assert {d: sum(n for _, n in v) for d, v in covered(frames["packed_windows"].collect()).items()} == size
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, frames["packed_windows"].collect()))
+
+
+def test_all_pairs_of_large_buckets_are_met(spark):
+    """Thousands of documents of which hundreds share a passage, against all pairs of sketches and of trigram sets."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    passages = [[word() for _ in range(40)] for _ in range(4)]
+    rows = []
+    for i in range(2400):
+        own, p = [word() for _ in range(r.randint(20, 120))], passages[i % 4]
+        k = r.randint(0, 10)
+        rows.append((i, " ".join(own + p[k : k + 30]), "en", "s"))
+    nodes = common.checkpoint(packing.sketches(documents(spark, rows)).selectExpr("doc_id AS node", "sketch", "low")).orderBy("node").collect()
+    sk = np.stack([np.frombuffer(x["sketch"], np.uint32) for x in nodes])
+    low = sk.astype(np.uint8)
+    got = defaultdict(list)
+    for x in packing.neighbours(spark.createDataFrame(nodes)).orderBy("a", F.desc("sim"), "b").collect():
+        got[x["a"]].append((x["b"], x["sim"]))
+    g = [grams(t) for _, t, *_ in rows]
+    met = total = 0
+    for a in range(len(rows)):
+        meets = (sk[:, : packing.ROWS] == sk[a, : packing.ROWS]).any(axis=1)
+        meets[a] = False
+        sim = np.round(((low == low[a]).mean(axis=1) * 256 - 1) / 255, 6)
+        some = np.flatnonzero(meets & (sim >= packing.LEAST))
+        want = some[np.lexsort((some, -sim[some]))][: packing.NEIGHBOURS]
+        assert got[a] == [(b, sim[b]) for b in want.tolist()]
+        if a % 20 == 0:
+            j = [(len(g[a] & x) / len(g[a] | x), b) for b, x in enumerate(g) if b != a]
+            best = [b for s, b in sorted(j, key=lambda x: (-x[0], x[1]))[: packing.NEIGHBOURS] if s >= packing.LEAST]
+            met += sum(bool(meets[b]) for b in best)
+            total += len(best)
+    assert total > 200 and met / total >= 0.98
