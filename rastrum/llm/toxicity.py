@@ -1,9 +1,11 @@
 """Document toxicity from an induced lexicon.
 
-1. *Vocabulary.*  Document frequencies of all words over all documents; words
-   of at least ``MIN_SHARE`` of the documents (and ``MIN_DOCS``) and at most
-   ``MAX_SHARE`` are nodes of a word graph.  The share bounds the number of
-   nodes, however large the corpus.
+1. *Vocabulary.*  Document frequencies of all words over all documents.  Nodes
+   of a word graph are all words that the labels mark as toxic (see 2),
+   whatever their share of the documents, and other words of at least
+   ``MIN_SHARE`` of the documents (and ``MIN_DOCS``) and at most ``MAX_SHARE``.
+   The shares bound the number of other nodes, however large the corpus; that
+   of marked words is bounded by the labelled texts.
 2. *Seeds.*  Labelled terms: words whose labelled documents are toxic
    far beyond chance, by the z-score of the smoothed log-odds, and those
    whose documents are not.  Copies of a text count once.
@@ -288,16 +290,18 @@ def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = docs.count()
     said = {r["toxic"]: r["count"] for r in first.groupBy("toxic").count().collect()}
     bound = max(min_docs, min_share * n)
-    # bounded by words a document over min_share, whatever the size of the corpus
-    pdf = voc.where((F.col("df") >= bound) & (F.col("df") <= max_share * max(n, 20 * min_docs))).toPandas()
+    nt, nc = said.get(1, 0), said.get(0, 0)
+    base = nt / max(1, nt + nc)
+    # words marked by labels stay whatever their share; the others are bounded by words a document over min_share, whatever the size of the corpus
+    marked_ = f"""toxic / greatest(1, toxic + clean) >= {(1 + base) / 2!r}D AND
+        (ln((toxic + 0.5D) / {nt + 1}) - ln((clean + 0.5D) / {nc + 1})) / sqrt(1 / (toxic + 0.5D) + 1 / (clean + 0.5D)) >= {SEED_Z!r}D"""
+    pdf = voc.where((F.col("df") >= bound) & (F.col("df") <= max_share * max(n, 20 * min_docs)) | F.expr(marked_)).toPandas()
     words = pdf["word"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(words)
     words = words[order]
     t, c = (pdf[k].to_numpy(dtype=np.float64)[order] for k in ("toxic", "clean"))
-    nt, nc = said.get(1, 0), said.get(0, 0)
     odds = np.log((t + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1))
     z = odds / np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-    base = nt / max(1, nt + nc)
     strong = np.flatnonzero((z >= SEED_Z) & (t / np.maximum(1, t + c) >= (1 + base) / 2))
     toxic = strong
     clean = np.flatnonzero((c > 0) & (t / np.maximum(1, t + c) < (1 + base) / 2))

@@ -148,6 +148,17 @@ def test_toxicity(spark):
     assert len(got & want) >= 0.95 * len(want) and len(got - want - {1002}) <= 3 and 1002 in got and not {1000, 1001} & got
 
 
+def test_toxicity_where_toxic_documents_are_common(spark):
+    """A quarter of the documents is toxic and each toxic word in an eighth of all, beyond the share of neutral words."""
+    r = random.Random(6)
+    plain = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(2500)]
+    rows = [(i, " ".join(r.sample(plain, 40) + (r.sample([f"vile{x}" for x in "abcdefghij"], 5) if i % 4 == 0 else [])), "en", "s") for i in range(1200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 1200, 3)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"] for x in toxicity.toxic_documents(documents(spark, rows), labels).collect()}
+    want = set(range(0, 1200, 4))
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 3
+
+
 def test_toxicity_without_labels(spark):
     d = documents(spark, [(1, "a b c", "en", "s")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
