@@ -131,7 +131,7 @@ def _lookup(words: np.ndarray):
 
 
 def cooccurrence(texts: DataFrame, words: np.ndarray, window: int) -> DataFrame:
-    """(i, j, n), i < j, packed by partition: how often two words of the vocabulary lie within ``window`` words, where that is more than once."""
+    """(pairs, counts), packed by partition: how often two words of the vocabulary lie within ``window`` words, be it once; _pairs() has them as i < j and n."""
     v, buckets = len(words), partitions(texts.sparkSession)
     of = _lookup(words)
     schema = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary()), ("counts", pa.binary())])
@@ -172,20 +172,29 @@ def cooccurrence(texts: DataFrame, words: np.ndarray, window: int) -> DataFrame:
             return
         key = np.concatenate([np.cumsum(_unpack(x[0], np.uint64), dtype=np.uint64) for x in xs])
         n = np.concatenate([_unpack(x[1], np.uint32) for x in xs])
+        del xs
         order = np.argsort(key)
-        key = key[order]
+        key, n = key[order], n[order]
+        del order
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        total = np.add.reduceat(n[order].astype(np.int64), edge)
-        key = key[edge][total > 1]
-        packed = ((key // np.uint64(v)).astype(np.int32), (key % np.uint64(v)).astype(np.int32), total[total > 1])
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], names=["i", "j", "n"])
+        total = np.add.reduceat(n, edge, dtype=np.int64)
+        packed = (_pack(np.diff(key[edge], prepend=np.uint64(0))), _pack(total))
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=["pairs", "counts"])
+        del key, n, edge, total
         tx.release()
 
-    return texts.select("t").mapInArrow(send, "bucket int, pairs binary, counts binary").repartition(buckets, "bucket").mapInArrow(receive, "i binary, j binary, n binary")
+    return texts.select("t").mapInArrow(send, "bucket int, pairs binary, counts binary").repartition(buckets, "bucket").mapInArrow(receive, "pairs binary, counts binary")
+
+
+def _pairs(pairs: bytes, counts: bytes, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, n) of one packed row of co-occurrences in a vocabulary of v words."""
+    key = np.cumsum(_unpack(pairs, np.uint64), dtype=np.uint64)
+    i = key // np.uint64(v)
+    return i.astype(np.int64), (key - i * np.uint64(v)).astype(np.int64), _unpack(counts, np.int64)
 
 
 def polarities(edges: DataFrame, v: int, toxic: np.ndarray, clean: np.ndarray, restart: float, steps: int) -> np.ndarray:
-    """The polarity of each word by two random walks with restart over positive pointwise mutual information.
+    """The polarity of each word by two random walks with restart over positive pointwise mutual information of all pairs.
 
     Edges stay spread over the cluster; each step sends the driver one vector of the vocabulary's size from each task.
     """
@@ -194,12 +203,12 @@ def polarities(edges: DataFrame, v: int, toxic: np.ndarray, clean: np.ndarray, r
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = 0
             for b in batches:
-                for xs in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                    total = total + f(*(np.frombuffer(x, t) for x, t in zip(xs, (np.int32, np.int32, np.int64), strict=True)))
+                for xs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    total = total + f(*_pairs(*xs, v))
             if not isinstance(total, int):
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
 
-        parts = [np.frombuffer(r["x"]) for r in df.select("i", "j", "n").mapInArrow(run, "x binary").collect()]
+        parts = [np.frombuffer(r["x"]) for r in df.select("pairs", "counts").mapInArrow(run, "x binary").collect()]
         return np.sum(parts, axis=0) if parts else np.zeros(v)
 
     def both(i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rastrum.llm import html_extract, langid, secrets, toxicity
+from rastrum.llm import text as tx
 
 from .helpers import documents
 
@@ -159,6 +162,25 @@ def test_toxicity_where_toxic_documents_are_common(spark):
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 3
 
 
+def test_cooccurrence_of_all_pairs(spark):
+    """Every pair within the window, also those that occur once, against loops."""
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(r.choices([*vocab, "other", "more"], k=r.randint(0, 40))), "en", "s") for i in range(60)]
+    w = tx.words(*tx.raw(pa.array([" ".join(vocab)])))
+    h = dict(zip(w.hashes().tolist(), vocab, strict=True))
+    words = np.sort(w.hashes())
+    place = {h[x]: k for k, x in enumerate(words.tolist())}
+    want = Counter()
+    for _, t, *_ in rows:
+        s = t.split()
+        want.update(tuple(sorted((place[a], place[b]))) for i, a in enumerate(s) for b in s[i + 1 : i + 4] if a != b and a in place and b in place)
+    got = {}
+    for x in toxicity.cooccurrence(toxicity._texts(documents(spark, rows), "doc_id", "text"), words, 3).collect():
+        got |= {(i, j): n for i, j, n in zip(*(y.tolist() for y in toxicity._pairs(x["pairs"], x["counts"], len(words))), strict=True)}
+    assert got == dict(want) and 1 in got.values()
+
+
 def test_toxicity_without_labels(spark):
     d = documents(spark, [(1, "a b c", "en", "s")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
