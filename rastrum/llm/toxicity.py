@@ -8,7 +8,8 @@
    of marked words is bounded by the labelled texts.
 2. *Seeds.*  Labelled terms: words whose labelled documents are toxic
    far beyond chance, by the z-score of the smoothed log-odds, and those
-   whose documents are not.  Copies of a text count once.
+   whose documents are not.  Copies of a text (with the same set of word
+   trigrams) count once.
 3. *Graph.*  Words within ``WINDOW`` words of each other, in all documents, are
    joined by their positive pointwise mutual information.
 4. *Walks.*  Random walks with restart from the toxic and from the other seeds;
@@ -54,17 +55,30 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("t"))
 
 
-def _least_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's least trigram hash, which its copies mostly share."""
+def _gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash of each text's whole set of trigrams, which only its copies share."""
     for b in batches:
         for i, j in tx.slices(tx.column(b, "t")):
             w = tx.words(*tx.raw(tx.column(b, "t").slice(i, j - i)))
             g, at = tx.ngram_hashes(w, 3)
+            doc = w.doc[at]
+            order = np.lexsort((g, doc))
+            g, doc = g[order], doc[order]
+            new = np.ones(len(g), dtype=bool)
+            new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
+            g, doc = g[new], doc[new]
             some = np.flatnonzero(w.counts)
-            least = np.minimum.reduceat(g, np.searchsorted(at, w.first[some])) if len(some) else np.zeros(0, np.uint64)
+            h = np.add.reduceat(tx.mix64(g), np.searchsorted(doc, some)) if len(some) else np.zeros(0, np.uint64)
             rows = pa.array(some)
             part = [tx.column(b, c).slice(i, j - i).take(rows) for c in ("doc_id", "toxic")]
-            yield pa.RecordBatch.from_arrays([*part, pa.array(least.view(np.int64))], names=["doc_id", "toxic", "h"])
+            yield pa.RecordBatch.from_arrays([*part, pa.array(h.view(np.int64))], names=["doc_id", "toxic", "h"])
+
+
+def speakers(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic): of labelled texts with the same trigrams only the least id keeps its label; null, empty and word-less texts have none."""
+    marked = small_join(texts, labels, "doc_id", "inner", labels.count())
+    first = marked.mapInArrow(_gram_sets, "doc_id long, toxic int, h long").groupBy("h").agg(F.min(F.struct("doc_id", "toxic")).alias("x")).select("x.doc_id", "x.toxic")
+    return first.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
 def vocabulary(texts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -291,10 +305,7 @@ def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The lexicon of a corpus, some of whose documents are labelled."""
     texts = _texts(docs, id_col, text_col)
     lab = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
-    # copies of a text speak once: of texts with the same least trigram only the least labelled id keeps its label
-    marked = small_join(texts, checkpoint(lab), "doc_id", "inner", lab.count())
-    first = marked.mapInArrow(_least_grams, "doc_id long, toxic int, h long").groupBy("h").agg(F.min(F.struct("doc_id", "toxic")).alias("x")).select("x.doc_id", "x.toxic")
-    first = checkpoint(first.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    first = checkpoint(speakers(texts, checkpoint(lab)))
     voc = checkpoint(vocabulary(texts, first))
     n = docs.count()
     said = {r["toxic"]: r["count"] for r in first.groupBy("toxic").count().collect()}
