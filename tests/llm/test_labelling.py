@@ -181,17 +181,6 @@ def test_cooccurrence_of_all_pairs(spark):
     assert got == dict(want) and 1 in got.values()
 
 
-def test_only_copies_speak_once(spark):
-    """Documents that share a long passage keep their labels; copies are those with the same trigrams."""
-    r = random.Random(9)
-    passage = " ".join(f"p{r.randrange(10**6)}" for _ in range(200))
-    rows = [(i, f"{passage} own{i} text{i} of{i} it{i}", "en", "s") for i in range(40)]
-    rows += [(100, rows[7][1].replace(" ", ", ").upper(), "en", "s"), (101, rows[8][1], "en", "s"), (102, "", "en", "s"), (103, None, "en", "s"), (104, "one", "en", "s"), (105, "One!", "en", "s")]
-    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, *_ in rows], "doc_id long, toxic int")
-    got = sorted(map(tuple, toxicity.speakers(toxicity._texts(documents(spark, rows), "doc_id", "text"), labels).collect()))
-    assert got == [(i, int(i % 3 == 0)) for i in [*range(40), 104]]
-
-
 def test_toxicity_without_labels(spark):
     d = documents(spark, [(1, "a b c", "en", "s")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
