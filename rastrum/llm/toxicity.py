@@ -44,7 +44,7 @@ MAX_SHARE = 0.05
 WINDOW = 8
 SEED_Z = 3.3
 RESTART = 0.3
-STEPS = 10
+STEPS = 12
 #: Polarities from which a word may count as in the lexicon; labelled documents decide.
 LEVELS = (0.98, 0.95, 0.9, 0.8, 0.6)
 CHUNK = 2 << 20
