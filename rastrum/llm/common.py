@@ -1,4 +1,4 @@
-"""What the operators share: shared-folder tables, joins by a checked size, connected components."""
+"""What the operators share: shared-folder tables, bounded membership filters, groups of sorted batches, connected components."""
 
 from __future__ import annotations
 
@@ -12,17 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a side that is broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Bits of a membership filter: its table, which is broadcast, has FILTER_BITS / 64 rows of 16 bytes at most.
+FILTER_BITS = 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder in spark.checkpoint.dir; only where that is unset, as in tests, a folder of this machine."""
+    """The shared folder in spark.checkpoint.dir; where that is unset on one machine, as in tests, a folder of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jsc.isDefined():
             return jsc.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "rastrum-shared")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -42,11 +44,64 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", rows: int | None = None) -> DataFrame:
-    """Joins with broadcast if ``small`` (cheap to count: checkpointed) has few rows, else by a shuffled hash join."""
-    n = small.count() if rows is None else rows
-    hinted = F.broadcast(small) if n <= BROADCAST_ROWS else small.hint("shuffle_hash")
-    return big.join(hinted, on, how)
+def clean(spark: SparkSession) -> None:
+    """Removes all tables that written() has left in the shared folder; results that read them must be stored by then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/rastrum")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _maybe(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """df with the column __in: false only where ``on`` is surely not among ``keys``.
+
+    Keys are hashed into FILTER_BITS bits, of which the words that have any are
+    broadcast: 16 MB at most, whatever the number of keys.  The more keys there
+    are, the more others pass; nothing is ever lost.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    words = keys.select(at(F.col(on)).alias("__h")).groupBy(F.shiftright("__h", 6).alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(__h & 63 AS INT))")).alias("__bits"))
+    d = df.withColumn("__h", at(F.col(on))).withColumn("__w", F.shiftright("__h", 6)).join(F.broadcast(words), "__w", "left")
+    return d.withColumn("__in", F.coalesce(F.expr("getbit(__bits, CAST(__h & 63 AS INT)) = 1"), F.lit(False)) & F.col(on).isNotNull()).drop("__w", "__h", "__bits")
+
+
+def perhaps(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose key may be among ``keys``: all that are and, by chance, some that are not."""
+    return _maybe(df, keys, on).where("__in").drop("__in")
+
+
+def within(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose key is among ``keys``; only those that the filter lets through take part in the join."""
+    return perhaps(df, keys, on).join(keys.select(on), on, "left_semi").select(df.columns)
+
+
+def without(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose key is null or not among ``keys``; only those that the filter holds back take part in the join."""
+    d = _maybe(df, keys, on)
+    sure = d.where("NOT __in").select(df.columns)
+    return sure.unionByName(d.where("__in").join(keys.select(on), on, "left_anti").select(df.columns))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) of each run of equal keys in batches sorted by them; only one run is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for b in batches:
+        if not len(b):
+            continue
+        cols = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(len(b), dtype=bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        new[0] = True
+        at = np.append(np.flatnonzero(new), len(b))
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            key = tuple(c[i].item() for c in cols)
+            if key != last and held:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(b.slice(i, j - i))
+    if held:
+        yield last, pa.Table.from_batches(held)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -57,20 +112,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) of an undirected graph; comp is the least node id of the component.
 
     Rounds of large-star and small-star (Kiveris et al. 2014) until nothing
-    changes: O(log^2 n) rounds, each one shuffle by node.  Nulls and
-    self-edges are left out; an empty graph has no rows.
+    changes: O(log^2 n) rounds.  A node's least neighbour is joined to its
+    edges, so that no row holds all neighbours of a node and the rows of a hub
+    may be split.  Nulls and self-edges are left out; an empty graph has no rows.
     """
-    spark = edges.sparkSession
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = checkpoint(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m0"), F.collect_set("v").alias("vs")).select("u", F.least("u", "m0").alias("m"), "vs")
-        large = least.select(F.explode("vs").alias("v"), "m", "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
-        small = small.select(F.explode(F.array_append("vs", F.col("u"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = checkpoint(small)
+        # large star: the greater end u of each edge goes to the least neighbour of the lesser end v
+        least = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = e.join(least, "v").select("u", F.col("m").alias("v")).distinct()  # its exchange serves both uses below
+        # small star: each lesser neighbour of u, and u, goes to the least of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        e = checkpoint(small.distinct())
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before:
             break

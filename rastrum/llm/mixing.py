@@ -28,7 +28,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_join
+from .common import checkpoint, within
 
 BLOCK_TOKENS = 4096
 SHARD_TOKENS = 8_000_000
@@ -124,7 +124,7 @@ def mix(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
     """The chosen documents with all their columns."""
     chosen = checkpoint(mix(docs, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct())
-    return small_join(docs, chosen, id_col, "left_semi")
+    return within(docs, chosen, id_col)
 
 
 def oracle(block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, budget_share: float = BUDGET_SHARE, seed: int = SEED) -> str:

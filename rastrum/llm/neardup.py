@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions, small_join, split_by
+from .common import checkpoint, partitions, split_by
 from .text import column, mix64
 
 BITS = 64

@@ -42,8 +42,8 @@ def op5_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents whose sets of word trigrams have Jaccard similarity 0.5 or more."""
-    return ngram_join.similar_pairs(_read(spark, sf_dir, "documents"))
+    """Class and number of links of the documents that are linked: whose sets of word trigrams have Jaccard similarity 0.5 or more."""
+    return ngram_join.similar_documents(_read(spark, sf_dir, "documents"))
 
 
 def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,12 +99,14 @@ w AS (SELECT gram, greatest(1, CAST(round(1000 * ln(any_value(n.n) / count(*)))
 s AS (SELECT q.id AS item_id, g.id AS doc_id, CAST(sum(weight) AS BIGINT) AS score FROM q JOIN w USING (gram) JOIN g USING (gram) GROUP BY ALL)
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place, doc_id, score FROM s QUALIFY place <= 10""",
     "op6_ngram_jaccard_join": f"""
-WITH g AS ({_grams("documents", "doc_id")}),
+WITH RECURSIVE g AS ({_grams("documents", "doc_id")}),
 n AS (SELECT id, count(*) AS size FROM g GROUP BY id),
-o AS (SELECT x.id AS doc_a, y.id AS doc_b, count(*) AS overlap FROM g x JOIN g y ON x.gram = y.gram AND x.id < y.id GROUP BY ALL)
-SELECT doc_a, doc_b, overlap, a.size + b.size - overlap AS union_size, overlap / (a.size + b.size - overlap) AS jaccard
-FROM o JOIN n a ON a.id = doc_a JOIN n b ON b.id = doc_b
-WHERE overlap / (a.size + b.size - overlap) >= 0.5""",
+o AS (SELECT x.id AS a, y.id AS b, count(*) AS overlap FROM g x JOIN g y ON x.gram = y.gram AND x.id < y.id GROUP BY ALL),
+p AS (SELECT o.a, o.b FROM o JOIN n x ON x.id = o.a JOIN n y ON y.id = o.b WHERE overlap / (x.size + y.size - overlap) >= 0.5),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT DISTINCT a AS doc_id, a AS m FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.m),
+c AS (SELECT doc_id, min(m) AS class_id FROM r GROUP BY doc_id)
+SELECT doc_id, class_id, n_links FROM c JOIN (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a) USING (doc_id)""",
     "op7_embedding_near_duplicates": """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
 SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import checkpoint, partitions, small_join, split_by
+from .common import checkpoint, partitions, perhaps, split_by
 
 LENGTH = 50
 ANCHOR = 16
@@ -165,8 +165,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     quarter, half = -(-length // 4), -(-length // 2)
     d = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("t"))
     hits = checkpoint(repeated_anchors(d, length, k))
-    places = hits.agg(F.sum(F.size("places"))).first()[0] or 0
-    survivors = small_join(d, hits, "doc_id", rows=max(hits.count(), places // 4))
+    survivors = perhaps(d, hits, "doc_id").join(hits, "doc_id")
     buckets = partitions(docs.sparkSession)
     schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("docs", "places", "a", "b", "c"))])
 

@@ -29,6 +29,8 @@ _IS_WORD[128:] = True
 
 def release() -> None:
     """Gives freed memory back to the system: a Python worker lives on after its task, next to the executor's heap."""
+    if _powers and len(_powers[0]) > 2 * SLICE_BYTES:
+        _powers.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

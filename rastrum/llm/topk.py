@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import checkpoint, small_join
+from .common import checkpoint, within
 
 K = 10
 N = 3
@@ -167,7 +167,7 @@ def _search(docs: DataFrame, q: Queries, k: int, n: int, lists: int, id_col: str
     cand = checkpoint(seen.join(F.broadcast(limits), "query").where(F.col("seen") + (lists - F.col("n")) * F.col("cutoff") >= F.col("low")).select("query", "doc_id"))
     # phase 3
     some = cand.select("doc_id").distinct()
-    exact = _entries(small_join(found, some, "doc_id", "left_semi", cand.count()), q, weight, lists).groupBy("query", "doc_id").agg(F.sum("score").alias("score"))
+    exact = _entries(within(found, some, "doc_id"), q, weight, lists).groupBy("query", "doc_id").agg(F.sum("score").alias("score"))
     top = exact.join(cand, ["query", "doc_id"]).selectExpr("query", "doc_id", "score", "row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS place").where(F.col("place") <= k)
     names = spark.createDataFrame([(i, int(x)) for i, x in enumerate(q.ids)], "query int, item_id long")
     return top.join(F.broadcast(names), "query").selectExpr("item_id", "CAST(place AS BIGINT) AS place", "doc_id", "score")

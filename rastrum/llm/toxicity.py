@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import checkpoint, partitions, small_join, split_by
+from .common import checkpoint, partitions, perhaps, split_by
 
 MIN_SHARE = 1e-3
 MIN_DOCS = 5
@@ -69,7 +69,7 @@ def _least_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(texts: DataFrame, labels: DataFrame) -> DataFrame:
     """(word, df, toxic, clean): by word hash, in how many documents, toxic and other labelled ones it occurs."""
-    marked = small_join(texts, labels, "doc_id", "left", labels.count())
+    marked = texts.join(labels, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[np.ndarray] = []
@@ -292,7 +292,7 @@ def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = _texts(docs, id_col, text_col)
     lab = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
     # copies of a text speak once: of texts with the same least trigram only the least labelled id keeps its label
-    marked = small_join(texts, checkpoint(lab), "doc_id", "inner", lab.count())
+    marked = perhaps(texts, lab, "doc_id").join(lab, "doc_id")
     first = marked.mapInArrow(_least_grams, "doc_id long, toxic int, h long").groupBy("h").agg(F.min(F.struct("doc_id", "toxic")).alias("x")).select("x.doc_id", "x.toxic")
     first = checkpoint(first.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     voc = checkpoint(vocabulary(texts, first))
@@ -319,7 +319,7 @@ def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     edges = checkpoint(cooccurrence(texts, words, WINDOW))
     p = polarities(edges, len(words), toxic, clean, RESTART, STEPS)
     # of a few polarities to start the lexicon at, the one that tells labelled documents apart best, and its cut
-    held = _level_scores(small_join(texts, first, "doc_id", "inner", first.count()), words, p).toPandas()
+    held = _level_scores(perhaps(texts, first, "doc_id").join(first, "doc_id"), words, p).toPandas()
     best, least = Lexicon(words[:0], np.zeros(0), np.inf), 0.0
     for level in LEVELS:
         own = held[held["level"] == level].sort_values("score", ascending=False)

@@ -14,57 +14,82 @@ from rastrum.llm import neardup, ngram_join, suffix, topk
 from .helpers import SCHEMA, corpus, documents, grams, words
 
 
-def brute_pairs(rows, n, t):
-    best = {}
+def brute_links(rows, n, t):
+    """Each row's (id, class, links), of rows with a link."""
     sets = [(i, grams(x, n)) for i, x, *_ in rows if i is not None]
-    for k, (i, a) in enumerate(sets):
-        for j, b in sets[k + 1 :]:
-            if i != j and a and b and len(a & b) / len(a | b) >= t:
-                key = (min(i, j), max(i, j))
-                best[key] = max(best.get(key, (0, 0, 0)), (len(a & b) / len(a | b), len(a & b), len(a | b)))
-    return best
+    sets = [(i, x) for i, x in sets if x]
+    root, links = list(range(len(sets))), [0] * len(sets)
 
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
 
-@pytest.mark.parametrize(("seed", "n", "t", "block", "slack"), [(0, 3, 0.5, 4000, 0.1), (1, 2, 0.6, 3, 0.2), (2, 1, 0.3, 7, 0.05)])
+    for k, (_, a) in enumerate(sets):
+        for m in range(k + 1, len(sets)):
+            b = sets[m][1]
+            if len(a & b) / len(a | b) >= t:
+                links[k] += 1
+                links[m] += 1
+                root[find(k)] = find(m)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        least[find(k)] = min(least.get(find(k), i), i)
+    return sorted((i, least[find(k)], links[k]) for k, (i, _) in enumerate(sets) if links[k])
+
+
+def linked(docs, *args, **options):
+    return sorted(tuple(r) for r in ngram_join.similar_documents(docs, *args, **options).collect())
+
+
+@pytest.mark.parametrize(("seed", "n", "t", "block", "slack"), [(0, 3, 0.5, 1 << 21, 0.1), (1, 2, 0.6, 150, 0.2), (2, 1, 0.3, 400, 0.05), (5, 1, 0.07, 300, 0.1), (6, 2, 0.9, 1 << 21, 0.3)])
 def test_join_equals_brute_force(spark, seed, n, t, block, slack):
     rows = corpus(seed)
-    got = {(r["doc_a"], r["doc_b"]): (r["jaccard"], r["overlap"], r["union_size"]) for r in ngram_join.similar_pairs(documents(spark, rows), n, t, block=block, slack=slack, frequent=20).collect()}
-    assert got == brute_pairs(rows, n, t)
+    got = linked(documents(spark, rows), n, t, block=block, slack=slack, frequent=20)
+    assert got == brute_links(rows, n, t) and got
+
+
+@pytest.mark.parametrize("t", [0.07, 0.55, 0.6, 0.7])
+def test_similarities_of_just_the_threshold(spark, t):
+    """Of 100 words a subset of exactly t: floating-point products must not lose the pair."""
+    words_ = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words_), "en", "s"), (2, " ".join(words_[: round(100 * t)]), "en", "s"), (3, " ".join(words_[: round(100 * t) - 1]), "en", "s")]
+    got = linked(documents(spark, rows), 1, t)
+    assert got == brute_links(rows, 1, t) and (1, 1, 1) in got
+
+
+def test_join_within_one_large_group(spark):
+    """Many near copies of one text, at all distances around the threshold, in many families and blocks."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(r.choice(["x", "y", "z"]) if r.random() < 0.005 * (i % 60) else w for w in base), "en", "s") for i in range(150)]
+    for block in (2000, 1 << 21):
+        got = linked(documents(spark, rows), 1, 0.75, block=block, slack=0.12)
+        assert got == brute_links(rows, 1, 0.75) and len({n for *_, n in got}) > 5
 
 
 def test_join_of_repeated_and_null_ids(spark):
     rows = corpus(3, n=6, copies=6)
     rows += [(1, rows[2][1], "en", "s"), (1, rows[1][1], "en", "s"), (None, rows[1][1], "en", "s"), (500, "x " * 3000, "en", "s"), (501, "x " * 2999, "en", "s")]
-    got = {(r["doc_a"], r["doc_b"]): (r["jaccard"], r["overlap"], r["union_size"]) for r in ngram_join.similar_pairs(documents(spark, rows)).collect()}
-    assert got == brute_pairs(rows, 3, 0.5) and (500, 501) in got
-    assert ngram_join.similar_pairs(documents(spark, rows).where("false")).count() == 0
+    got = linked(documents(spark, rows))
+    assert got == brute_links(rows, 3, 0.5) and (501, 500, 1) in got
+    assert ngram_join.similar_documents(documents(spark, rows).where("false")).count() == 0
 
 
-def test_incremental_answers():
+def test_incremental_overlaps():
     r = np.random.default_rng(0)
     base = r.choice(1000, 60, replace=False)
     sets = [np.unique(np.concatenate([base[r.random(60) < 0.9], r.choice(5000, 5)])).astype(np.uint64) for _ in range(30)]
-    ids = np.arange(30) * 7
-    got = {(a, b): (o, u) for x in ngram_join.group_answers(ids, sets, np.arange(30), 0.6) for a, b, o, u in zip(*x, strict=True)}
-    want = {}
-    for i in range(30):
-        for j in range(i + 1, 30):
-            o = len(np.intersect1d(sets[i], sets[j]))
-            u = len(np.union1d(sets[i], sets[j]))
-            if o / u >= 0.6:
-                want[ids[i], ids[j]] = (o, u)
-    assert got == want and want
+    for queries in (sets, [s[::2] for s in sets[:7]]):
+        got = {i: c.tolist() for i, c in ngram_join.overlaps(queries, sets)}
+        assert got == {i: [len(np.intersect1d(q, s)) for s in sets] for i, q in enumerate(queries)}
 
 
 def test_one_of_each_group_stays(spark):
     rows = corpus(4)
-    pairs = brute_pairs(rows, 3, 0.5)
-    group = {i: i for i, *_ in rows}
-    for _ in rows:
-        for a, b in pairs:
-            group[a] = group[b] = min(group[a], group[b])
+    drop = {i for i, c, _ in brute_links(rows, 3, 0.5) if i != c}
     out = ngram_join.deduplicated(documents(spark, rows))
-    assert {r["doc_id"] for r in out.collect()} == set(group.values())
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(i for i, *_ in rows if i not in drop) and drop
     assert out.columns == documents(spark, rows).columns
 
 
@@ -162,12 +187,12 @@ def test_embeddings_recall_and_oddities(spark):
 
 
 def test_extra_columns_stay_out(spark):
-    assert ngram_join.similar_pairs(documents(spark, corpus(0, n=4))).columns == [c.split()[0] for c in ngram_join.RESULT.split(", ")]
+    assert ngram_join.similar_documents(documents(spark, corpus(0, n=4))).columns == [c.split()[0] for c in ngram_join.RESULT.split(", ")]
     assert "grams" in SCHEMA and random
 
 
 def test_join_where_most_texts_are_empty(spark):
     rows = [(i, "" if i % 5 else None, "en", "s") for i in range(40)] + [(100, "only one text here", "en", "s")]
-    assert ngram_join.similar_pairs(documents(spark, rows).repartition(8)).count() == 0
-    assert ngram_join.similar_pairs(documents(spark, rows[:40])).count() == 0
+    assert ngram_join.similar_documents(documents(spark, rows).repartition(8)).count() == 0
+    assert ngram_join.similar_documents(documents(spark, rows[:40])).count() == 0
     assert ngram_join.deduplicated(documents(spark, rows)).count() == 41
