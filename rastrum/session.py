@@ -20,6 +20,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # rows here are whole documents
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
 
 
