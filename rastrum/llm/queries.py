@@ -47,7 +47,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of embeddings with cosine similarity 0.95 or more."""
+    """Class and number of links of every embedding, linked where the cosine similarity is 0.95 or more."""
     return neardup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
@@ -108,7 +108,9 @@ r AS (SELECT DISTINCT a AS doc_id, a AS m FROM e UNION SELECT r.doc_id, e.b FROM
 c AS (SELECT doc_id, min(m) AS class_id FROM r GROUP BY doc_id)
 SELECT doc_id, class_id, n_links FROM c JOIN (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a) USING (doc_id)""",
     "op7_embedding_near_duplicates": """
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
-SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine
-FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95""",
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id, vec_id AS m FROM v UNION SELECT r.vec_id, p.b FROM r JOIN p ON p.a = r.m),
+c AS (SELECT vec_id, min(m) AS class_id FROM r GROUP BY vec_id)
+SELECT vec_id, class_id, coalesce(n, 0) AS n_links FROM c LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a) USING (vec_id)""",
 }

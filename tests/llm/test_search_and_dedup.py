@@ -169,23 +169,57 @@ def test_topk_of_nothing(spark):
     assert topk.search(docs.where("false"), spark.createDataFrame([(1, "one")], "item_id long, text string")).count() == 0
 
 
-def test_embeddings_recall_and_oddities(spark):
+def brute_vectors(rows, t):
+    """Each usable row's (id, class, links)."""
+    ids = np.array([i for i, *_ in rows])
+    u = np.asarray([v for _, v, *_ in rows], np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = u @ u.T >= t
+    np.fill_diagonal(near, False)
+    label = np.arange(len(ids))
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], len(ids)).min(axis=1))
+        if (new == label).all():
+            break
+        label = new
+    return sorted((int(i), int(ids[label == c].min()), int(n)) for i, c, n in zip(ids, label, near.sum(axis=1), strict=True))
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_embeddings_recall_and_oddities(spark, block):
+    """Classes and links as by brute force, also where buckets are split into blocks."""
     r = np.random.default_rng(2)
     centres = r.standard_normal((40, 32))
     v = np.concatenate([centres[r.integers(0, 40, 400)] + r.standard_normal((400, 32)) * s for s in (0.05, 0.8)])
     rows = [(i, [float(x) for x in v[i]], 1) for i in range(len(v))]
-    odd = [(9000, None, 1), (9001, [0.0] * 32, 1), (9002, [float("nan")] * 32, 1), (9003, [float("inf")] + [0.0] * 31, 1), (9004, [1.0], 1), (9005, [None] + [1.0] * 31, 1), (None, rows[0][1], 1), rows[5], (9006, rows[5][1], 1)]
-    table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
-    got = {(r["vec_a"], r["vec_b"]) for r in neardup.near_duplicates(table).collect()}
-    u = np.asarray([x[1] for x in rows + [odd[-1]]], np.float32).astype(float)
-    u /= np.linalg.norm(u, axis=1)[:, None]
-    ids = np.array([x[0] for x in rows] + [9006])
-    i, j = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
-    want = {(ids[a], ids[b]) for a, b in zip(i, j, strict=True)}
-    assert got <= want and len(got) >= 0.9 * len(want) and (5, 9006) in got
+    odd = [(9000, None, 1), (9001, [0.0] * 32, 1), (9002, [float("nan")] * 32, 1), (9003, [float("inf")] + [0.0] * 31, 1), (9004, [1.0], 1), (9005, [None] + [1.0] * 31, 1), (None, rows[0][1], 1)]
+    copies = [rows[5], (9006, rows[5][1], 1)]
+    table = spark.createDataFrame([(*x, 7, 8.0) for x in rows + odd + copies], "vec_id long, embedding array<float>, label int, key int, v double")
+    for t, least in ((0.95, 1.0), (0.7, 0.97)):
+        got = sorted(tuple(x) for x in neardup.near_duplicates(table, t, block=block, miss=1e-4).collect())
+        want = brute_vectors(rows + copies, t)
+        assert [x[0] for x in got] == [x[0] for x in want]
+        assert sum(x[2] for x in want) >= sum(x[2] for x in got) >= least * sum(x[2] for x in want) > 0
+        if least == 1:
+            assert got == want
     assert neardup.near_duplicates(table.where("false")).count() == 0
 
 
+def test_index_recall(spark):
+    """Of pairs of just over the threshold, with the production parameters, at least nine in ten are found."""
+    r = np.random.default_rng(3)
+    a = r.standard_normal((300, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    side = r.standard_normal((300, 64))
+    side -= (side * a).sum(axis=1)[:, None] * a
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    b = 0.955 * a + (1 - 0.955**2) ** 0.5 * side
+    fill = r.standard_normal((6000, 64))
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([a, b, fill]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).where("n_links = 1 AND vec_id >= 300 AND class_id = vec_id - 300").count()
+    assert got >= 285 and len(neardup.table_masks(6600, 64, 0.95)) > 5
+
+
 def test_extra_columns_stay_out(spark):
     assert ngram_join.similar_documents(documents(spark, corpus(0, n=4))).columns == [c.split()[0] for c in ngram_join.RESULT.split(", ")]
     assert "grams" in SCHEMA and random
