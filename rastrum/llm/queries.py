@@ -113,4 +113,12 @@ p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec
 r AS (SELECT vec_id, vec_id AS m FROM v UNION SELECT r.vec_id, p.b FROM r JOIN p ON p.a = r.m),
 c AS (SELECT vec_id, min(m) AS class_id FROM r GROUP BY vec_id)
 SELECT vec_id, class_id, coalesce(n, 0) AS n_links FROM c LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a) USING (vec_id)""",
+    "op9_repeated_passages": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT doc_id, unnest(range(len(ws) - 49)) AS p, unnest(list_transform(range(1, len(ws) - 48), lambda i: md5(array_to_string(ws[i : i + 49], ' ')))) AS h FROM d WHERE len(ws) >= 50),
+g AS (SELECT h, min(doc_id) AS a, max(doc_id) AS z, count(DISTINCT doc_id) AS n FROM s GROUP BY h HAVING a <> z),
+b AS (SELECT s.h, min(s.doc_id) AS b FROM s JOIN g ON g.h = s.h AND s.doc_id > g.a GROUP BY s.h),
+w AS (SELECT s.doc_id, s.p, n, CASE WHEN s.doc_id = a THEN b ELSE a END AS other FROM s JOIN g ON g.h = s.h JOIN b ON b.h = s.h),
+r AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, other ORDER BY p) AS run FROM w)
+SELECT doc_id, min(p) AS start_word, max(p) - min(p) + 50 AS n_words, other AS other_doc, max(n) AS n_docs FROM r GROUP BY doc_id, other, run""",
 }

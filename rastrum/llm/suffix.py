@@ -5,42 +5,47 @@ A suffix is known by its place (document, word).  Two suffixes that agree over
 
 1. *Anchors.*  In every window of ``LENGTH`` words the least hash of 16 words
    is an anchor (winnowing): equal windows have equal anchors.  Only windows
-   whose anchor occurs in another document can repeat; the others, provably
-   unique, need no rank.
-2. *Doubling.*  Spark deals the remaining places to reducers by the rank of
-   their first quarter of ``LENGTH`` words.  There places are sorted by that
-   rank, then reranked by pairs of ranks at growing offsets (a quarter, half),
-   and leave as soon as their rank is unique or held by one document alone.
-   The ranks that a pair needs travel with the place, so that a round needs no
-   further shuffle; past ``LENGTH`` words the doubling stops.
-3. *Runs.*  The places that are left go back to their documents, where
-   adjoining ones that lead to the same partner form a passage.
-
-Ranks are hashes; the three that decide have over 100 bits together.
+   whose anchor occurs elsewhere can repeat; the others, provably unique, need
+   no rank.
+2. *Doubling.*  Remaining places start with the hash of their first 16 words as
+   rank.  In each round Spark sorts the pairs (rank at a place, rank at an
+   offset from it); equal neighbours in that order get one new rank, places
+   whose pair is unique leave.  Offsets grow, 16 and then 18 for 50 words, so
+   that a rank stands for 32 and then 50 words; past ``LENGTH`` words the
+   doubling stops.  Places are kept in chunks of documents, packed: a chunk
+   sends each distinct pair once, however many of its places have it, and gets
+   the new rank of those that stay.
+3. *Runs.*  Adjoining places that are left and lead to the same partner form a
+   passage.
+
+Exact up to collisions of the 64-bit hashes.
 
 Defined results: null, empty and shorter texts repeat nothing; null ids are
 left out; a passage that repeats only inside one document, or in rows with the
-same id, is no result; of several partners the smallest other id is named;
-every document of a repeat is listed, the first one too; an empty table gives
-no rows; other columns are ignored.
+same id, is no result, unless ``inside`` asks for those too, whose partner is
+the document itself; of several partners the smallest other id is named; every
+document of a repeat is listed, the first one too; rows with one id list their
+passages each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import checkpoint, partitions, perhaps, split_by
+from .common import checkpoint, grouped, partitions, perhaps, split_by, written
 
 LENGTH = 50
 ANCHOR = 16
 CHUNK = 1 << 20
-_MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
+_MAX = np.iinfo(np.int64).max
 
 
 def _sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -69,38 +74,36 @@ def anchors(h: np.ndarray, doc: np.ndarray, length: int, k: int) -> tuple[np.nda
     return at, x[at]
 
 
-def _frame(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, tx.Words, pa.RecordBatch, int, int]]:
-    for b in batches:
-        ids = tx.column(b, "doc_id").to_numpy(zero_copy_only=False)
-        for i, j in tx.slices(tx.column(b, "t")):
-            yield ids[i:j], tx.words(*tx.raw(tx.column(b, "t").slice(i, j - i))), b, i, j
+def offsets(length: int, start: int) -> list[int]:
+    """The offsets at which ranks are paired until they stand for ``length`` words."""
+    out, have = [], start
+    while have < length:
+        out.append(min(have, length - have))
+        have += out[-1]
+    return out
 
 
-def _packed(schema: pa.Schema, bucket: np.ndarray, buckets: int, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """A row of packed columns for each bucket."""
-    out: list[list] = [[] for _ in schema]
-    for k, at in split_by(bucket, buckets):
-        out[0].append(k)
-        for x, c in zip(out[1:], columns, strict=True):
-            x.append(c[at].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+def _ends(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By key (sorted): where it starts, its least and its next document (_MAX: none), its places and its documents, rows of one id in one chunk counting once."""
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(edge, len(key)))
+    least = np.minimum.reduceat(doc, edge)
+    other = np.minimum.reduceat(np.where(doc == np.repeat(least, size), _MAX, doc), edge)
+    order = np.lexsort((doc, np.repeat(np.arange(len(edge)), size)))
+    d = doc[order]
+    new = np.concatenate([[True], d[1:] != d[:-1]])
+    new[edge] = True
+    return edge, least, other, size, np.add.reduceat(new.astype(np.int64), edge)
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> Iterator[list[np.ndarray]]:
-    """All of a partition's columns of each bucket."""
-    kept: dict[int, list[tuple]] = {}
-    for b in batches:
-        for k, *xs in zip(*(b.column(i).to_pylist() for i in range(len(kinds) + 1)), strict=True):
-            kept.setdefault(k, []).append(tuple(xs))
-    for k in list(kept):
-        xs = kept.pop(k)
-        yield [np.frombuffer(b"".join(x[i] for x in xs), t) for i, t in enumerate(kinds)]
+_HITS = "bucket int, hashes binary, docs binary, places binary, many binary, known binary"
+_HIT_SCHEMA = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("hashes", "docs", "places", "many", "known"))])
 
 
-def repeated_anchors(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """(doc_id, places): the anchors of each document that another document has too."""
+def repeated_anchors(texts: DataFrame, length: int, k: int, inside: bool = False) -> DataFrame:
+    """(doc_id, places): the anchors of each document that occur elsewhere too."""
     buckets = partitions(texts.sparkSession)
-    schema = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
+    m = np.uint64(buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -108,76 +111,85 @@ def repeated_anchors(texts: DataFrame, length: int, k: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             x, d, p = (np.concatenate([y[i] for y in held]) for i in range(3))
             held.clear()
-            return _packed(schema, (x % np.uint64(buckets)).astype(np.int64), buckets, [(x // np.uint64(buckets)).astype(np.uint32), d, p])
+            order = np.argsort(x, kind="stable")
+            x, d, p = x[order], d[order], p[order]
+            edge, _, other, size, _ = _ends(x, d)
+            many = (size > 1) if inside else (other != _MAX)
+            each = np.repeat(many, size)
+            # what repeats here is known, whatever others say; they are told once, and once of what does not
+            alone = np.flatnonzero(~each)
+            kinds = (np.uint32, np.int64, np.uint32, np.uint32)
+            out: list[list] = [[] for _ in _HIT_SCHEMA]
+            one, told = dict(split_by((x[alone] % m).astype(np.int64), buckets)), dict(split_by((x[edge[many]] % m).astype(np.int64), buckets))
+            none = np.zeros(0, dtype=np.int64)
+            for b in range(buckets):
+                i, j = alone[one.get(b, none)], edge[many][told.get(b, none)]
+                if len(i) or len(j):
+                    for y, c in zip(out, (b, *(v.astype(t).tobytes() for v, t in zip((x[i] // m, d[i], p[i], x[j] // m), kinds, strict=True)), b""), strict=True):
+                        y.append(c)
+            known = np.flatnonzero(each)
+            for y, c in zip(out, (int(x[0] % m), b"", d[known].astype(np.int64).tobytes(), p[known].astype(np.uint32).tobytes(), b"", b"1"), strict=True):
+                y.append(c)
+            return pa.RecordBatch.from_arrays([pa.array(y, f.type) for y, f in zip(out, _HIT_SCHEMA, strict=True)], schema=_HIT_SCHEMA)
 
         total = 0
         for ids, w, *_ in _frame(batches):
             at, x = anchors(w.hashes(), w.doc, length, k)
             doc = w.doc[at]
-            held.append((x, ids[doc].astype(np.int64), (at - w.first[doc]).astype(np.uint32)))
+            held.append((x, ids[doc].astype(np.int64), at - w.first[doc]))
             total += len(at)
             if total >= CHUNK:
                 yield flush()
                 total = 0
         if total:
             yield flush()
+        tx.release()
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, d, p in _unpacked(batches, [np.uint32, np.int64, np.uint32]):
-            keep = np.arange(len(x))[_several(x, d)]
-            yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(p[keep].astype(np.int32))], names=["doc_id", "place"])
-
-    found = texts.mapInArrow(send, "bucket int, hashes binary, docs binary, places binary").repartition(buckets, "bucket").mapInArrow(receive, "doc_id long, place int")
+        kept: dict[int, list[tuple]] = {}
+
+        def rows(d: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(p.astype(np.int32))], names=["doc_id", "place"])
+
+        for b in batches:
+            for k, x, d, p, y, known in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if known:
+                    yield rows(np.frombuffer(d, np.int64), np.frombuffer(p, np.uint32))
+                else:
+                    kept.setdefault(k, []).append((x, d, p, y))
+        for k in list(kept):
+            xs = kept.pop(k)
+            x, d, p, told = (np.frombuffer(b"".join(r[i] for r in xs), t) for i, t in enumerate((np.uint32, np.int64, np.uint32, np.uint32)))
+            if not len(x):
+                continue
+            order = np.argsort(x, kind="stable")
+            x, d, p = x[order], d[order], p[order]
+            edge, _, other, size, _ = _ends(x, d)
+            keep = np.repeat((size > 1) if inside else (other != _MAX), size) | np.isin(x, told)
+            yield rows(d[keep], p[keep])
+        tx.release()
+
+    found = texts.mapInArrow(send, _HITS).repartition(buckets, "bucket").mapInArrow(receive, "doc_id long, place int")
     return found.groupBy("doc_id").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
-def _several(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether a place's rank is held by more than one document."""
-    order = np.argsort(rank, kind="stable")
-    r, d = rank[order], doc[order]
-    edge = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
-    out = np.zeros(len(r), dtype=bool)
-    if len(r):
-        many = np.minimum.reduceat(d, edge) != np.maximum.reduceat(d, edge)
-        out[order] = np.repeat(many, np.diff(np.append(edge, len(r))))
-    return out
-
-
-def rerank(rank: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Dense ranks of the pairs (rank, other)."""
-    if not len(rank):
-        return rank.astype(np.int64)
-    pair = rank.astype(np.uint64) << np.uint64(32) | other.astype(np.uint64)
-    order = np.argsort(pair, kind="stable")
-    s = pair[order]
-    new = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-    out = np.empty(len(s), dtype=np.int64)
-    out[order] = new
-    return out
-
-
-RESULT = "doc_id long, start_word long, n_words long, other_doc long, n_docs long"
+def _frame(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, tx.Words, pa.RecordBatch, int, int]]:
+    for b in batches:
+        ids = tx.column(b, "doc_id").to_numpy(zero_copy_only=False)
+        for i, j in tx.slices(tx.column(b, "t")):
+            yield ids[i:j], tx.words(*tx.raw(tx.column(b, "t").slice(i, j - i))), b, i, j
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages of at least ``length`` words that another document has too: where they are, one such document, and in how many documents the most repeated part is."""
-    k = min(ANCHOR, max(1, length // 3))
-    quarter, half = -(-length // 4), -(-length // 2)
-    d = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("t"))
-    hits = checkpoint(repeated_anchors(d, length, k))
-    survivors = perhaps(d, hits, "doc_id").join(hits, "doc_id")
-    buckets = partitions(docs.sparkSession)
-    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("docs", "places", "a", "b", "c"))])
+#: A chunk of documents: their ids and, by place, the row of its document, its word and its first pair of ranks.
+STATE = "chunk long, docs binary, rows binary, words binary, a binary, b binary"
+_STATE_SCHEMA = pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("docs", "rows", "words", "a", "b"))])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
 
-        def flush() -> pa.RecordBatch:
-            bucket, *cols = (np.concatenate([y[i] for y in held]) for i in range(6))
-            held.clear()
-            return _packed(schema, bucket, buckets, cols)
+def chunks(texts: DataFrame, length: int, k: int, steps: list[int]) -> DataFrame:
+    """The places that windows with a repeated anchor need ranks of, with pairs of ranks at the first offset."""
 
-        total = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for ids, w, b, i, j in _frame(batches):
             h = w.hashes()
             if len(h) < length:
@@ -193,56 +205,180 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
             np.add.at(diff, np.maximum(at - (length - k), w.first[row]), 1)
             np.add.at(diff, at + 1, -1)
             n = len(h) - length + 1
-            p = np.flatnonzero((np.cumsum(diff)[:n] > 0) & (w.doc[:n] == w.doc[length - 1 :]))
-            q, r = tx.run_hashes(h, quarter), tx.run_hashes(h, half)
-            # the halves' second rank ends with the window, so that they cover just ``length`` words
-            a, doc = q[p], w.doc[p]
-            low = [x.astype(np.uint32) for x in (a // np.uint64(buckets), q[p + half - quarter], r[p + length - half])]
-            held.append([(a % np.uint64(buckets)).astype(np.int64), ids[doc].astype(np.int64), (p - w.first[doc]).astype(np.uint32), *low])
-            total += len(p)
-            if total >= CHUNK:
-                yield flush()
-                total = 0
-        if total:
-            yield flush()
+            need = np.zeros(len(h), dtype=bool)
+            need[:n] = (np.cumsum(diff)[:n] > 0) & (w.doc[:n] == w.doc[length - 1 :])
+            for o in steps[:0:-1]:  # a rank is made of ranks here and at the offset
+                need[o:] |= need[:-o]
+            p = np.flatnonzero(need)
+            if not len(p):
+                continue
+            g = tx.run_hashes(h, k)
+            second = g[p + steps[0]] if steps else np.zeros(len(p), np.uint64)
+            doc = w.doc[p]
+            cols = (ids.astype(np.int64), doc.astype(np.uint32), (p - w.first[doc]).astype(np.uint32), g[p], second)
+            yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], schema=_STATE_SCHEMA)
+            number += 1
+
+    return texts.mapInArrow(run, STATE)
+
+
+def _chunk(row: dict) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(row[c], t) for c, t in (("docs", np.int64), ("rows", np.uint32), ("words", np.uint32), ("a", np.uint64), ("b", np.uint64)))
+
+
+PAIRS = "a long, b long, chunk long, item int, least long, other long, n int, times int"
+REPLIES = "chunk long, item int, rank long, least long, other long, n long"
+
+
+def _groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the pairs, and a number of each pair in that order."""
+    order = np.lexsort((b, a))
+    new = np.concatenate([[False], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+    return order, np.cumsum(new)
+
+
+def sorted_pairs(state: DataFrame) -> DataFrame:
+    """Each chunk's distinct pairs, sorted by Spark over all chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                docs, row, _, a, b = _chunk(r)
+                if not len(a):
+                    continue
+                order, group = _groups(a, b)
+                edge, least, other, times, n = _ends(group, docs[row[order]])
+                first = order[edge]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(np.full(len(edge), r["chunk"])), pa.array(np.arange(len(edge), dtype=np.int32)), pa.array(least), pa.array(other), pa.array(n.astype(np.int32)), pa.array(times.astype(np.int32))],
+                    names=["a", "b", "chunk", "item", "least", "other", "n", "times"],
+                )
+
+    pairs = state.mapInArrow(run, PAIRS)
+    return pairs.repartitionByRange(partitions(state.sparkSession), "a", "b").sortWithinPartitions("a", "b")
+
+
+def reranked(pairs: DataFrame, inside: bool) -> DataFrame:
+    """New ranks, in the order of the sorted pairs, of those that are not unique; with the two least documents that have the pair and how many do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = TaskContext.get().partitionId() << 40
+        for part in _whole_runs(batches):
+            a, b, chunk, item, least, other, n, times = (part.column(i).to_numpy() for i in range(8))
+            edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            size = np.diff(np.append(edge, len(a)))
+            first = np.minimum.reduceat(least, edge)
+            # the next one: the least of all documents but the first
+            rest = np.where(least == np.repeat(first, size), other, least)
+            second = np.minimum.reduceat(rest, edge)
+            total = np.add.reduceat(n.astype(np.int64), edge)
+            keep = np.add.reduceat(times.astype(np.int64), edge) > 1 if inside else second != _MAX
+            number = rank + 1 + np.arange(len(edge))
+            rank += len(edge)
+            each = np.repeat(keep, size)
+            cols = (chunk, item, *(np.repeat(x, size) for x in (number, first, second, total)))
+            yield pa.RecordBatch.from_arrays([pa.array(c[each]) for c in cols], names=["chunk", "item", "rank", "least", "other", "n"])
+
+    return pairs.mapInArrow(run, REPLIES)
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches joined so that no run of equal pairs is cut: a run has a row a chunk at most."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        a, c = (b.column(i).to_numpy() for i in range(2))
+        cut = np.flatnonzero((a != a[-1]) | (c != c[-1]))
+        at = int(cut[-1]) + 1 if len(cut) else 0
+        if at == 0 and held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (a[0], c[0]):
+            yield pa.Table.from_batches(held)
+            held = []
+        if at:
+            held.append(b.slice(0, at))
+            yield pa.Table.from_batches(held)
+            held = [b.slice(at)]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _answered(state: DataFrame, replies: DataFrame) -> DataFrame:
+    """Chunks next to the replies to them, sorted by chunk, the chunk itself first."""
+    s = state.select("chunk", F.lit(-1).alias("item"), *(F.lit(None).cast("long").alias(c) for c in ("rank", "least", "other", "n")), "docs", "rows", "words", "a", "b")
+    r = replies.select("chunk", "item", "rank", "least", "other", "n", *(F.lit(None).cast("binary").alias(c) for c in ("docs", "rows", "words", "a", "b")))
+    return s.unionByName(r).repartition(partitions(state.sparkSession), "chunk").sortWithinPartitions("chunk", "item")
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, ...], np.ndarray, list[np.ndarray]]]:
+    """(chunk, its arrays, the places that stay, what was replied to each)."""
+    for (chunk,), t in grouped(batches, ["chunk"]):
+        docs, row, word, a, b = _chunk({c: t[c][0].as_py() for c in ("docs", "rows", "words", "a", "b")})
+        replies = t.slice(1)
+        item = replies["item"].to_numpy()
+        order, group = _groups(a, b)
+        of = np.full(int(group[-1]) + 1, -1, dtype=np.int64)
+        of[item] = np.arange(len(item))
+        own = np.empty(len(a), dtype=np.int64)
+        own[order] = of[group]
+        keep = np.flatnonzero(own >= 0)
+        yield chunk, (docs, row, word), keep, [replies[c].to_numpy()[own[keep]] for c in ("rank", "least", "other", "n")]
+
+
+def advanced(state: DataFrame, replies: DataFrame, offset: int) -> DataFrame:
+    """Chunks with pairs of the new ranks at the next offset; places without both ranks leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, (docs, row, word), keep, (rank, *_) in _placed(batches):
+            at = row[keep].astype(np.int64) << 32 | word[keep].astype(np.int64)  # sorted
+            p = np.searchsorted(at, at + offset)
+            both = p < len(at)
+            both[both] = at[p[both]] == at[both] + offset
+            i, j = np.flatnonzero(both), p[both]
+            if len(i):
+                cols = (docs, row[keep][i], word[keep][i], rank[i].astype(np.uint64), rank[j].astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], schema=_STATE_SCHEMA)
+        tx.release()
+
+    return _answered(state, replies).mapInArrow(run, STATE)
+
+
+RESULT = "doc_id long, start_word long, n_words long, other_doc long, n_docs long"
 
-    back = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("docs", "places", "others", "counts"))])
-
-    def double(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, place, a, b, c in _unpacked(batches, [np.int64, np.uint32, np.uint32, np.uint32, np.uint32]):
-            rank = rerank(np.zeros(len(a), np.int64), a)
-            for offset in range(3):
-                keep = _several(rank, doc)
-                doc, place, b, c, rank = doc[keep], place[keep], b[keep], c[keep], rank[keep]
-                if offset < 2:
-                    rank = rerank(rank, (b, c)[offset])
-            if not len(doc):
+
+def _runs(state: DataFrame, replies: DataFrame, length: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (docs, row, word), keep, (_, least, second, n) in _placed(batches):
+            row, place = row[keep], word[keep].astype(np.int64)
+            if not len(row):
                 continue
-            order = np.lexsort((place, doc, rank))
-            doc, place, rank = doc[order], place[order], rank[order]
-            edge = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
-            size = np.diff(np.append(edge, len(rank)))
-            new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (doc[1:] != doc[:-1])])
-            n = np.add.reduceat(new.astype(np.int64), edge)
-            least = doc[edge]
-            second = np.minimum.reduceat(np.where(doc == np.repeat(least, size), np.iinfo(np.int64).max, doc), edge)
-            other = np.where(doc == np.repeat(least, size), np.repeat(second, size), np.repeat(least, size))
-            yield _packed(back, (tx.mix64(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets, [doc, place, other, np.repeat(n, size).astype(np.uint32)])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, place, other, n in _unpacked(batches, [np.int64, np.uint32, np.int64, np.uint32]):
-            order = np.lexsort((place, doc))
-            doc, place, other, n = doc[order], place[order].astype(np.int64), other[order], n[order]
-            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1) | (other[1:] != other[:-1])])
-            again = np.concatenate([[False], (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])])  # rows with the same id
-            new &= ~again
+            doc = docs[row]
+            other = np.where(doc != least, least, np.where(second == _MAX, doc, second))
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1) | (other[1:] != other[:-1])])
             at = np.flatnonzero(new)
-            last = np.append(at[1:], len(doc)) - 1
+            last = np.append(at[1:], len(row)) - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[at]), pa.array(place[at]), pa.array(place[last] - place[at] + length), pa.array(other[at]), pa.array(np.maximum.reduceat(n, at).astype(np.int64))],
+                [pa.array(doc[at]), pa.array(place[at]), pa.array(place[last] - place[at] + length), pa.array(other[at]), pa.array(np.maximum.reduceat(n, at))],
                 names=["doc_id", "start_word", "n_words", "other_doc", "n_docs"],
             )
+        tx.release()
+
+    return _answered(state, replies).mapInArrow(run, RESULT)
+
 
-    blobs = "bucket int, docs binary, places binary, "
-    ranked = survivors.mapInArrow(send, blobs + "a binary, b binary, c binary").repartition(buckets, "bucket").mapInArrow(double, blobs + "others binary, counts binary")
-    return ranked.repartition(buckets, "bucket").mapInArrow(gather, RESULT)
+def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", inside: bool = False) -> DataFrame:
+    """Passages of at least ``length`` words that another document has too: where they are, one such document, and how many documents have the most repeated part."""
+    k = min(ANCHOR, max(1, length // 3))
+    steps = offsets(length, k)
+    d = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("t"))
+    hits = checkpoint(repeated_anchors(d, length, k, inside))
+    state = written(chunks(perhaps(d, hits, "doc_id").join(hits, "doc_id"), length, k, steps), "chunks")
+    for i in range(max(1, len(steps))):
+        replies = reranked(sorted_pairs(state), inside)
+        if i + 1 >= len(steps):
+            return _runs(state, replies, length)
+        state = written(advanced(state, replies, steps[i + 1]), "chunks")
+        gc.collect()
+        docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffles of the round
+    raise AssertionError

@@ -93,7 +93,7 @@ def test_one_of_each_group_stays(spark):
     assert out.columns == documents(spark, rows).columns
 
 
-def brute_repeats(rows, length):
+def brute_repeats(rows, length, inside):
     where = defaultdict(list)
     for i, t, *_ in rows:
         w = words(t) if i is not None else []
@@ -104,18 +104,24 @@ def brute_repeats(rows, length):
         docs = sorted({i for i, _ in v})
         if len(docs) > 1:
             out |= {(i, p, docs[1] if i == docs[0] else docs[0]) for i, p in v}
+        elif inside and len(v) > 1:
+            out |= {(i, p, i) for i, p in v}
     return out
 
 
-@pytest.mark.parametrize(("seed", "length"), [(0, 50), (1, 12), (2, 7)])
-def test_repeats_equal_brute_force(spark, seed, length):
+@pytest.mark.parametrize(("seed", "length", "inside"), [(0, 50, False), (1, 12, True), (2, 7, False), (0, 50, True), (3, 1, False)])
+def test_repeats_equal_brute_force(spark, seed, length, inside):
     rows = corpus(seed, n=25, length=(5, 150))
     passage = " ".join(rows[0][1].split()[:60]) if len(rows[0][1].split()) >= 60 else "p q r s t u v w x y z " * 6
     rows = [*rows, *((200 + k, f"{'z' * k} {passage} tail{k}", "en", "s") for k in range(5)), (300, f"{passage} and {passage}", "en", "s"), (None, passage, "en", "s"), (300, passage, "en", "s"), (301, "same line " * 400, "en", "s")]
-    found = suffix.repeats(documents(spark, rows), length).collect()
+    found = suffix.repeats(documents(spark, rows), length, inside=inside).collect()
     got = {(r["doc_id"], p, r["other_doc"]) for r in found for p in range(r["start_word"], r["start_word"] + r["n_words"] - length + 1)}
-    assert got == brute_repeats(rows, length) and got
-    assert all(r["doc_id"] != 301 for r in found)  # it repeats only inside itself
+    assert got == brute_repeats(rows, length, inside) and got
+    assert inside or all(r["doc_id"] != 301 for r in found)  # it repeats only inside itself
+
+
+def test_offsets_grow_to_the_length():
+    assert suffix.offsets(50, 16) == [16, 18] and suffix.offsets(7, 2) == [2, 3] and suffix.offsets(200, 16) == [16, 32, 64, 72] and suffix.offsets(3, 3) == []
 
 
 def test_repeats_of_nothing(spark):
