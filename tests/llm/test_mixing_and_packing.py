@@ -82,19 +82,81 @@ def test_windows_hold_every_word_once(spark):
 
 
 def test_walk():
-    import pandas as pd
+    e = [(1, 2, 0.9), (2, 3, 0.5), (3, 4, 0.8), (2, 4, 0.6), (9, 9, 0.0)]
+    a, b, sim = (np.array(x) for x in zip(*e, *((b, a, s) for a, b, s in e), strict=True))
+    got = packing.walk(a, b, sim)
+    assert [x[0] for x in got] == [9, 1, 2, 4, 3] and [x[2] for x in got] == [9, 1, 1, 1, 1]  # from the lowest degree to the most similar
 
-    e = [(1, 2, 0.9), (2, 3, 0.5), (3, 4, 0.8), (2, 4, 0.6)]
-    both = pd.DataFrame([*e, *((b, a, s) for a, b, s in e)], columns=["a", "b", "sim"])
-    got = packing.walk(both)
-    assert got["node"].tolist() == [1, 2, 4, 3] and got["path"].nunique() == 1  # from the lowest degree to the most similar
+
+def brute_neighbours(sk, ids):
+    """Each id's most similar others that share one of the first hashes, by plain comparison of all pairs."""
+    low = sk.astype(np.uint8)
+    out = {}
+    for a, i in enumerate(ids):
+        meets = (sk[:, : packing.ROWS] == sk[a, : packing.ROWS]).any(axis=1) & (ids != i)
+        sim = np.round(((low == low[a]).mean(axis=1) * 256 - 1) / 255, 6)
+        best = {}
+        for k in np.flatnonzero(meets & (sim >= packing.LEAST)):
+            best[int(ids[k])] = max(best.get(int(ids[k]), 0), sim[k])
+        out[int(i)] = sorted(best.items(), key=lambda x: (-x[1], x[0]))[: packing.NEIGHBOURS]
+    return out
+
+
+def test_whole_output_equals_brute_force(spark):
+    """Ties of degree and similarity, copies, null and empty texts; one shard, so that walks are whole."""
+    rows = corpus(9, n=50, copies=50, vocabulary=200)
+    d = documents(spark, rows)
+    found = sorted((r["doc_id"], r["n_words"], r["sketch"]) for r in packing.sketches(d).collect())
+    node = {}
+    for i, _, x in found:
+        node.setdefault(x, i)
+    ids = np.array(sorted(node.values()))
+    by = {i: x for x, i in node.items()}
+    near = brute_neighbours(np.stack([np.frombuffer(by[i], np.uint32) for i in ids]), ids)
+    edges = defaultdict(dict)
+    for a, v in near.items():
+        for b, s in v:
+            edges[a][b] = edges[b][a] = s
+    place, seen = {}, set()
+    for start in sorted(edges, key=lambda i: (len(edges[i]), i)):
+        at, k = start, 0
+        while at is not None and at not in seen:
+            seen.add(at)
+            place[at] = (len(edges[start]), start, k)
+            k += 1
+            at = min((b for b in edges[at] if b not in seen), key=lambda b: (-edges[at][b], b), default=None)
+    order = sorted(found, key=lambda r: (*place.get(node[r[2]], (0, node[r[2]], 0)), node[r[2]], r[0], r[1]))
+    want, before = [], 0
+    for k, (i, n, _) in enumerate(order):
+        done = 0
+        while done < n:
+            m = min(n - done, 64 - (before + done) % 64)
+            want.append((0, (before + done) // 64, k + 1, i, done, m))
+            done += m
+        before += n
+    got = sorted(tuple(r) for r in packing.pack(d, window=64).select("shard", "window", "place", "doc_id", "start_word", "n_words").collect())
+    assert got == sorted(want) and len(edges) > 20
+
+
+def test_shards_stay_small(spark):
+    """One large component and one group of copies, each of many times a shard's words."""
+    r = random.Random(4)
+    base = [f"w{r.randrange(9999)}" for _ in range(60)]
+    rows = [(i, " ".join(r.choice(base) if r.random() < 0.1 else w for w in base), "en", "s") for i in range(200)]
+    rows += [(1000 + i, " ".join(f"c{k}" for k in range(60)), "en", "s") for i in range(200)]
+    pieces = packing.pack(documents(spark, rows), window=100, shard_tokens=1500).collect()
+    size = Counter()
+    for x in pieces:
+        size[x["shard"]] += x["n_words"]
+    assert sum(size.values()) == 400 * 60 and max(size.values()) < 10_000 and len(size) >= 10
+    assert {d: sum(n for _, n in v) for d, v in covered(pieces).items()} == {i: 60 for i, *_ in rows}
 
 
 def test_neighbour_recall(spark):
     rows = [r for r in corpus(2, n=60, copies=60) if words(r[1])]
     d = documents(spark, rows)
     sk = common.checkpoint(packing.sketches(d))
-    nodes = sk.selectExpr("doc_id AS node", "sketch", "low")
+    nodes = sk.selectExpr("doc_id AS node", "sketch")
     got = defaultdict(set)
     for r in packing.neighbours(nodes).collect():
         got[r["a"]].add(r["b"])
@@ -168,24 +230,20 @@ def test_all_pairs_of_large_buckets_are_met(spark):
         own, p = [word() for _ in range(r.randint(20, 120))], passages[i % 4]
         k = r.randint(0, 10)
         rows.append((i, " ".join(own + p[k : k + 30]), "en", "s"))
-    nodes = common.checkpoint(packing.sketches(documents(spark, rows)).selectExpr("doc_id AS node", "sketch", "low")).orderBy("node").collect()
+    nodes = common.checkpoint(packing.sketches(documents(spark, rows)).selectExpr("doc_id AS node", "sketch")).orderBy("node").collect()
     sk = np.stack([np.frombuffer(x["sketch"], np.uint32) for x in nodes])
-    low = sk.astype(np.uint8)
-    got = defaultdict(list)
-    for x in packing.neighbours(spark.createDataFrame(nodes)).orderBy("a", F.desc("sim"), "b").collect():
-        got[x["a"]].append((x["b"], x["sim"]))
+    want = brute_neighbours(sk, np.array([x["node"] for x in nodes]))
+    for split in (packing.SPLIT, 100):  # buckets whole, and in blocks
+        got = defaultdict(list)
+        for x in packing.neighbours(spark.createDataFrame(nodes), split=split).orderBy("a", F.desc("sim"), "b").collect():
+            got[x["a"]].append((x["b"], x["sim"]))
+        assert dict(got) == {a: v for a, v in want.items() if v}
     g = [grams(t) for _, t, *_ in rows]
     met = total = 0
-    for a in range(len(rows)):
+    for a in range(0, len(rows), 20):
         meets = (sk[:, : packing.ROWS] == sk[a, : packing.ROWS]).any(axis=1)
-        meets[a] = False
-        sim = np.round(((low == low[a]).mean(axis=1) * 256 - 1) / 255, 6)
-        some = np.flatnonzero(meets & (sim >= packing.LEAST))
-        want = some[np.lexsort((some, -sim[some]))][: packing.NEIGHBOURS]
-        assert got[a] == [(b, sim[b]) for b in want.tolist()]
-        if a % 20 == 0:
-            j = [(len(g[a] & x) / len(g[a] | x), b) for b, x in enumerate(g) if b != a]
-            best = [b for s, b in sorted(j, key=lambda x: (-x[0], x[1]))[: packing.NEIGHBOURS] if s >= packing.LEAST]
-            met += sum(bool(meets[b]) for b in best)
-            total += len(best)
+        j = [(len(g[a] & x) / len(g[a] | x), b) for b, x in enumerate(g) if b != a]
+        best = [b for s, b in sorted(j, key=lambda x: (-x[0], x[1]))[: packing.NEIGHBOURS] if s >= packing.LEAST]
+        met += sum(bool(meets[b]) for b in best)
+        total += len(best)
     assert total > 200 and met / total >= 0.98
