@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -40,16 +41,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rastrum/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a table that written() made and nothing reads any more."""
+    for f in df.inputFiles():
+        _delete(df.sparkSession, f.rsplit("/", 1)[0])
+
+
 def clean(spark: SparkSession) -> None:
     """Removes all tables that written() has left in the shared folder; results that read them must be stored by then."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/rastrum")
+    _delete(spark, f"{shared_dir(spark)}/rastrum")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of what is no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _maybe(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """df with the column __in: false only where ``on`` is surely not among ``keys``.
 

@@ -18,7 +18,7 @@ A suffix is known by its place (document, word).  Two suffixes that agree over
 3. *Runs.*  Adjoining places that are left and lead to the same partner form a
    passage.
 
-Exact up to collisions of the 64-bit hashes.
+Exact up to collisions of the hashes: two of 40 bits decide on 32 words.
 
 Defined results: null, empty and shorter texts repeat nothing; null ids are
 left out; a passage that repeats only inside one document, or in rows with the
@@ -30,7 +30,6 @@ passages each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import checkpoint, grouped, partitions, perhaps, split_by, written
+from .common import checkpoint, grouped, partitions, perhaps, removed, split_by, tidied, written
 
 LENGTH = 50
 ANCHOR = 16
@@ -212,18 +211,24 @@ def chunks(texts: DataFrame, length: int, k: int, steps: list[int]) -> DataFrame
             p = np.flatnonzero(need)
             if not len(p):
                 continue
-            g = tx.run_hashes(h, k)
+            g = tx.run_hashes(h, k) >> np.uint64(24 if steps else 0)  # two of 40 bits make a pair
             second = g[p + steps[0]] if steps else np.zeros(len(p), np.uint64)
             doc = w.doc[p]
-            cols = (ids.astype(np.int64), doc.astype(np.uint32), (p - w.first[doc]).astype(np.uint32), g[p], second)
-            yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], schema=_STATE_SCHEMA)
+            yield _packed(number, ids.astype(np.int64), doc, p - w.first[doc], g[p], second)
             number += 1
 
     return texts.mapInArrow(run, STATE)
 
 
+def _packed(chunk: int, docs: np.ndarray, row: np.ndarray, word: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """A chunk's row; rows and words as differences, nearly all 0 and 1, which compress to nothing."""
+    cols = (docs, np.diff(row, prepend=0).astype(np.int32), np.diff(word, prepend=0).astype(np.int32), a, b)
+    return pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], schema=_STATE_SCHEMA)
+
+
 def _chunk(row: dict) -> tuple[np.ndarray, ...]:
-    return tuple(np.frombuffer(row[c], t) for c, t in (("docs", np.int64), ("rows", np.uint32), ("words", np.uint32), ("a", np.uint64), ("b", np.uint64)))
+    docs, rows, words, a, b = (np.frombuffer(row[c], t) for c, t in (("docs", np.int64), ("rows", np.int32), ("words", np.int32), ("a", np.uint64), ("b", np.uint64)))
+    return docs, np.cumsum(rows, dtype=np.int64), np.cumsum(words, dtype=np.int64), a, b
 
 
 PAIRS = "a long, b long, chunk long, item int, least long, other long, n int, times int"
@@ -258,8 +263,8 @@ def sorted_pairs(state: DataFrame) -> DataFrame:
     return pairs.repartitionByRange(partitions(state.sparkSession), "a", "b").sortWithinPartitions("a", "b")
 
 
-def reranked(pairs: DataFrame, inside: bool) -> DataFrame:
-    """New ranks, in the order of the sorted pairs, of those that are not unique; with the two least documents that have the pair and how many do."""
+def reranked(pairs: DataFrame, inside: bool, last: bool) -> DataFrame:
+    """New ranks, in the order of the sorted pairs, of those that are not unique; in the last round instead the two least documents that have the pair and how many do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = TaskContext.get().partitionId() << 40
@@ -276,8 +281,10 @@ def reranked(pairs: DataFrame, inside: bool) -> DataFrame:
             number = rank + 1 + np.arange(len(edge))
             rank += len(edge)
             each = np.repeat(keep, size)
-            cols = (chunk, item, *(np.repeat(x, size) for x in (number, first, second, total)))
-            yield pa.RecordBatch.from_arrays([pa.array(c[each]) for c in cols], names=["chunk", "item", "rank", "least", "other", "n"])
+            cols = [np.repeat(x, size)[each] for x in ((first, second, total) if last else (number,))]
+            none = pa.nulls(int(each.sum()), pa.int64())
+            said = [none, *map(pa.array, cols)] if last else [pa.array(cols[0]), none, none, none]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[each]), pa.array(item[each]), *said], names=["chunk", "item", "rank", "least", "other", "n"])
 
     return pairs.mapInArrow(run, REPLIES)
 
@@ -311,7 +318,7 @@ def _answered(state: DataFrame, replies: DataFrame) -> DataFrame:
     return s.unionByName(r).repartition(partitions(state.sparkSession), "chunk").sortWithinPartitions("chunk", "item")
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, ...], np.ndarray, list[np.ndarray]]]:
+def _placed(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[tuple[int, tuple[np.ndarray, ...], np.ndarray, list[np.ndarray]]]:
     """(chunk, its arrays, the places that stay, what was replied to each)."""
     for (chunk,), t in grouped(batches, ["chunk"]):
         docs, row, word, a, b = _chunk({c: t[c][0].as_py() for c in ("docs", "rows", "words", "a", "b")})
@@ -323,22 +330,21 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.n
         own = np.empty(len(a), dtype=np.int64)
         own[order] = of[group]
         keep = np.flatnonzero(own >= 0)
-        yield chunk, (docs, row, word), keep, [replies[c].to_numpy()[own[keep]] for c in ("rank", "least", "other", "n")]
+        yield chunk, (docs, row, word), keep, [replies[c].to_numpy()[own[keep]] for c in (("least", "other", "n") if last else ("rank",))]
 
 
 def advanced(state: DataFrame, replies: DataFrame, offset: int) -> DataFrame:
     """Chunks with pairs of the new ranks at the next offset; places without both ranks leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, (docs, row, word), keep, (rank, *_) in _placed(batches):
-            at = row[keep].astype(np.int64) << 32 | word[keep].astype(np.int64)  # sorted
+        for chunk, (docs, row, word), keep, (rank,) in _placed(batches, False):
+            at = row[keep] << 32 | word[keep]  # sorted
             p = np.searchsorted(at, at + offset)
             both = p < len(at)
             both[both] = at[p[both]] == at[both] + offset
             i, j = np.flatnonzero(both), p[both]
             if len(i):
-                cols = (docs, row[keep][i], word[keep][i], rank[i].astype(np.uint64), rank[j].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], schema=_STATE_SCHEMA)
+                yield _packed(chunk, docs, row[keep][i], word[keep][i], rank[i].astype(np.uint64), rank[j].astype(np.uint64))
         tx.release()
 
     return _answered(state, replies).mapInArrow(run, STATE)
@@ -349,8 +355,8 @@ RESULT = "doc_id long, start_word long, n_words long, other_doc long, n_docs lon
 
 def _runs(state: DataFrame, replies: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (docs, row, word), keep, (_, least, second, n) in _placed(batches):
-            row, place = row[keep], word[keep].astype(np.int64)
+        for _, (docs, row, word), keep, (least, second, n) in _placed(batches, True):
+            row, place = row[keep], word[keep]
             if not len(row):
                 continue
             doc = docs[row]
@@ -375,10 +381,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     hits = checkpoint(repeated_anchors(d, length, k, inside))
     state = written(chunks(perhaps(d, hits, "doc_id").join(hits, "doc_id"), length, k, steps), "chunks")
     for i in range(max(1, len(steps))):
-        replies = reranked(sorted_pairs(state), inside)
-        if i + 1 >= len(steps):
+        last = i + 1 >= len(steps)
+        replies = reranked(sorted_pairs(state), inside, last)
+        if last:
             return _runs(state, replies, length)
-        state = written(advanced(state, replies, steps[i + 1]), "chunks")
-        gc.collect()
-        docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffles of the round
+        before, state = state, written(advanced(state, replies, steps[i + 1]), "chunks")
+        removed(before)
+        tidied(docs.sparkSession)
     raise AssertionError
