@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Documents are dealt to shards by a hash of their id and, within a shard and
-source, cut in hash order into blocks of ``block_tokens`` words (the last one
-may be shorter).  ``budget_share`` of all blocks is apportioned to sources by
+source, laid end to end in hash order and cut into blocks of ``block_tokens``
+words (the last one may be shorter); a block may begin and end inside a
+document, so that all are of equal tokens.  ``budget_share`` of all blocks is apportioned to sources by
 the highest quotients weight / (2k + 1), k = 0, 1, ..., a source getting no
 more blocks than it has; each source's blocks are apportioned to its shards in
 the same way, by the blocks they hold.  Within a shard and source, blocks are
@@ -12,11 +13,11 @@ Weights are integers by source; the default is the rounded-down square root of
 a source's words, which damps large sources.
 
 Defined results: a null source is the source "(none)"; null and empty texts
-have 0 words and go with the block they fall in; a document longer than a
-block fills one block alone from where it starts; equal quotients go to the
-source (or shard) first in order; rows with equal ids share a shard and keep
-their own place in it; a source without weight gets nothing; an empty table
-gives no rows; other columns are ignored.
+have 0 words and go with the block of the word before them; a document longer
+than a block has a piece in each of several; equal quotients go to the source
+(or shard) first in order; rows with equal ids share a shard and keep their own
+place in it; a source without weight gets nothing; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def apportion(weights: dict[str, int], available: dict[str, int], seats: int) ->
     return out
 
 
-RESULT = ["doc_id", "source", "shard", "block", "n_words", "quota"]
+RESULT = ["doc_id", "source", "shard", "block", "start_word", "n_words", "quota"]
 
 
 def mix(
@@ -88,18 +89,27 @@ def mix(
     source_col: str = "source",
     text_col: str = "text",
 ) -> DataFrame:
-    """The chosen documents with their shard, block and the quota of their source in the shard."""
+    """The pieces of documents in chosen blocks, with the quota of their source in the shard."""
+    return _mix(docs, weights, block_tokens, shard_tokens, budget_share, seed, id_col, source_col, text_col).select(*RESULT)
+
+
+def _row(*columns: str) -> Column:
+    return F.xxhash64(*columns)
+
+
+def _mix(docs: DataFrame, weights: dict[str, int] | None, block_tokens: int, shard_tokens: int, budget_share: float, seed: int, id_col: str, source_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("(none)")).alias("source"), words(text_col).alias("n_words"))
+    d = docs.select(_row(id_col, source_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("(none)")).alias("source"), words(text_col).alias("n_words"))
     d = checkpoint(d.withColumn("h", _hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed)))))
     total = d.agg(F.sum("n_words")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     dealt = d.withColumn("shard", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(shards)))
-    dealt.createOrReplaceTempView("rastrum_mix_dealt")
     placed = spark.sql(
-        f"""SELECT doc_id, source, shard, n_words,
-            CAST((sum(n_words) OVER (PARTITION BY source, shard ORDER BY h, doc_id, n_words ROWS UNBOUNDED PRECEDING) - n_words) DIV {block_tokens} AS BIGINT) AS block
-            FROM rastrum_mix_dealt"""
+        f"""WITH c AS (SELECT row, doc_id, source, shard, n_words, CAST(sum(n_words) OVER (PARTITION BY source, shard ORDER BY h, doc_id, n_words ROWS UNBOUNDED PRECEDING) - n_words AS BIGINT) AS before FROM {{dealt}}),
+            p AS (SELECT *, explode(CASE WHEN n_words > 0 THEN sequence(before DIV {block_tokens}, (before + n_words - 1) DIV {block_tokens}) ELSE array(greatest(0L, before - 1) DIV {block_tokens}) END) AS block FROM c)
+        SELECT row, doc_id, source, shard, block, greatest(0L, block * {block_tokens} - before) AS start_word,
+            CASE WHEN n_words > 0 THEN least((block + 1) * {block_tokens}, before + n_words) - greatest(block * {block_tokens}, before) ELSE 0L END AS n_words FROM p""",
+        dealt=dealt,
     )
     blocks = checkpoint(placed.groupBy("source", "shard", "block").agg(F.sum("n_words").alias("n_words")))
     # one row a source: the driver apportions these, whatever the size of the corpus
@@ -109,22 +119,23 @@ def mix(
     seats = apportion(w, have, math.floor(sum(have.values()) * budget_share))
     quota = spark.createDataFrame([(s, n) for s, n in seats.items()], "source string, seats long")
     by_shard = blocks.groupBy("source", "shard").agg(F.count("*").alias("n"))
-    by_shard.join(F.broadcast(quota), "source").createOrReplaceTempView("rastrum_mix_shards")
     quotas = spark.sql(
-        """WITH q AS (SELECT source, shard, seats, n / (2D * k + 1) AS quotient, k FROM rastrum_mix_shards LATERAL VIEW explode(sequence(0L, n - 1)) AS k),
+        """WITH q AS (SELECT source, shard, seats, n / (2D * k + 1) AS quotient, k FROM {by_shard} LATERAL VIEW explode(sequence(0L, n - 1)) AS k),
         r AS (SELECT source, shard, seats, row_number() OVER (PARTITION BY source ORDER BY quotient DESC, shard, k) AS place FROM q)
-        SELECT source, shard, count(*) AS quota FROM r WHERE place <= seats GROUP BY source, shard"""
+        SELECT source, shard, count(*) AS quota FROM r WHERE place <= seats GROUP BY source, shard""",
+        by_shard=by_shard.join(quota, "source"),
     )
     ranked = blocks.select("source", "shard", "block").withColumn("b", _hash("source", F.col("shard").cast("string"), F.col("block").cast("string"), F.lit(str(seed))))
     ranked = ranked.selectExpr("source", "shard", "block", "row_number() OVER (PARTITION BY source, shard ORDER BY b, block) AS place")
     chosen = ranked.join(quotas, ["source", "shard"]).where("place <= quota").select("source", "shard", "block", "quota")
-    return placed.join(chosen, ["source", "shard", "block"]).select(*RESULT)
+    return placed.join(chosen, ["source", "shard", "block"])
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The chosen documents with all their columns."""
-    chosen = checkpoint(mix(docs, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct())
-    return within(docs, chosen, id_col)
+def mixed_documents(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, budget_share: float = BUDGET_SHARE, seed: int = SEED, weights: dict[str, int] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The documents whose first word lies in a chosen block, whole, with all their columns; rows of equal id, source and text stay or go together, null ids like others."""
+    first = _mix(docs, weights, block_tokens, shard_tokens, budget_share, seed, id_col, source_col, text_col).where("start_word = 0")
+    chosen = checkpoint(first.select(F.col("row").alias("__row")).distinct())
+    return within(docs.withColumn("__row", _row(id_col, source_col, text_col)), chosen, "__row").select(docs.columns)
 
 
 def oracle(block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, budget_share: float = BUDGET_SHARE, seed: int = SEED) -> str:
@@ -133,7 +144,10 @@ def oracle(block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, b
 WITH d AS (SELECT doc_id, coalesce(source, '(none)') AS source, CAST(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0) AS BIGINT) AS n_words, md5(doc_id || ':{seed}') AS h FROM documents),
 t AS (SELECT greatest(1, CAST(ceil(coalesce(sum(n_words), 0) / {shard_tokens}) AS BIGINT)) AS shards FROM d),
 s AS (SELECT d.*, CAST('0x' || substr(h, 1, 8) AS BIGINT) % shards AS shard FROM d, t),
-p AS (SELECT *, CAST((sum(n_words) OVER (PARTITION BY source, shard ORDER BY h, doc_id, n_words ROWS UNBOUNDED PRECEDING) - n_words) // {block_tokens} AS BIGINT) AS block FROM s),
+e AS (SELECT *, CAST(sum(n_words) OVER (PARTITION BY source, shard ORDER BY h, doc_id, n_words ROWS UNBOUNDED PRECEDING) - n_words AS BIGINT) AS before FROM s),
+i AS (SELECT *, unnest(CASE WHEN n_words > 0 THEN range(before // {block_tokens}, (before + n_words - 1) // {block_tokens} + 1) ELSE [greatest(0, before - 1) // {block_tokens}] END) AS block FROM e),
+p AS (SELECT doc_id, source, shard, block, greatest(0, block * {block_tokens} - before) AS start_word,
+  CASE WHEN n_words > 0 THEN least((block + 1) * {block_tokens}, before + n_words) - greatest(block * {block_tokens}, before) ELSE 0 END AS n_words FROM i),
 b AS (SELECT source, shard, block, sum(n_words) AS n_words FROM p GROUP BY ALL),
 w AS (SELECT source, count(*) AS n, CAST(floor(sqrt(sum(n_words))) AS BIGINT) AS weight FROM b GROUP BY source),
 q AS (SELECT source, row_number() OVER (ORDER BY weight / (2.0::DOUBLE * k + 1) DESC, source, k) AS place FROM (SELECT *, unnest(range(n)) AS k FROM w) WHERE weight > 0),
@@ -142,4 +156,4 @@ z AS (SELECT source, shard, count(*) AS n FROM b GROUP BY ALL),
 r AS (SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY n / (2.0::DOUBLE * k + 1) DESC, shard, k) AS place FROM (SELECT *, unnest(range(n)) AS k FROM z)),
 u AS (SELECT source, shard, count(*) AS quota FROM r JOIN a USING (source) WHERE place <= seats GROUP BY ALL),
 c AS (SELECT source, shard, block, row_number() OVER (PARTITION BY source, shard ORDER BY md5(source || ':' || shard || ':' || block || ':{seed}'), block) AS place FROM b)
-SELECT doc_id, p.source, p.shard, p.block, p.n_words, quota FROM p JOIN c ON p.source = c.source AND p.shard = c.shard AND p.block = c.block JOIN u ON u.source = p.source AND u.shard = p.shard WHERE place <= quota"""
+SELECT doc_id, p.source, p.shard, p.block, p.start_word, p.n_words, quota FROM p JOIN c ON p.source = c.source AND p.shard = c.shard AND p.block = c.block JOIN u ON u.source = p.source AND u.shard = p.shard WHERE place <= quota"""

@@ -3,9 +3,11 @@
 From a labelled table of credentials and look-alikes, one probabilistic
 automaton is inferred for each format: the prefix tree of its examples, whose
 states are merged where their counts agree within Hoeffding bounds (ALERGIA,
-Carrasco and Oncina 1994).  Every candidate, a run of at least ``MIN_LENGTH``
-key characters, is scored by all automata; it is a secret if a credential
-format is likelier than every other by ``MARGIN`` nats.
+Carrasco and Oncina 1994).  Every candidate, a run of key characters of any
+length, is scored by all automata; it is a secret if a credential format is
+likelier than every other by ``MARGIN`` nats.  The table is small and given:
+(text, format, secret) rows, of which examples() reads ``EXAMPLE_ROWS`` at
+most; the default one is drawn from the published shapes of the formats.
 
 Defined results: null and empty texts have no candidates; texts and candidates
 of any length are scored whole; equal likelihoods go to the format first in
@@ -27,10 +29,11 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
-MIN_LENGTH = 16
 MARGIN = 3.0
 ALPHA = 0.05
 EXAMPLES = 150
+#: Most rows of a labelled table, which the driver infers automata from.
+EXAMPLE_ROWS = 100_000
 
 _CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-+/"
 _SYM = np.full(256, -1, dtype=np.int16)
@@ -63,10 +66,14 @@ def labelled_examples(seed: int = 7, each: int = EXAMPLES) -> list[tuple[str, st
         return s
 
     makers = {
-        "plain_word": (False, lambda: word(r.randint(12, 30))),
-        "title_word": (False, lambda: word(r.randint(12, 30)).capitalize()),
-        "upper_word": (False, lambda: word(r.randint(12, 30)).upper()),
-        "number": (False, lambda: pick(dig, r.randint(12, 22))),
+        "plain_word": (False, lambda: word(r.randint(1, 30))),
+        "title_word": (False, lambda: word(r.randint(1, 30)).capitalize()),
+        "upper_word": (False, lambda: word(r.randint(1, 30)).upper()),
+        "number": (False, lambda: pick(dig, r.randint(1, 22))),
+        "short_code": (False, lambda: pick(low + up + dig, r.randint(1, 6))),
+        "letters": (False, lambda: pick(low + up, r.randint(1, 12))),
+        "hex_word": (False, lambda: pick("abcdef", r.randint(1, 12))),
+        "mark": (False, lambda: r.choice("-_+/") * r.randint(1, 40)),
         "joined_words": (False, lambda: r.choice("-_/").join(word(3) for _ in range(r.randint(3, 6)))),
         "dated_name": (False, lambda: r.choice("-_/").join([word(4), pick(dig, 4), pick(dig, 2), pick(dig, 2)])),
         "camel_name": (False, lambda: "".join(word(4).capitalize() for _ in range(r.randint(3, 6))) + pick(dig, r.randint(0, 2))),
@@ -83,6 +90,13 @@ def labelled_examples(seed: int = 7, each: int = EXAMPLES) -> list[tuple[str, st
     return [(make(), name, secret) for name, (secret, make) in makers.items() for _ in range(each)]
 
 
+def examples(table: DataFrame, text_col: str = "text", format_col: str = "format", secret_col: str = "secret") -> list[tuple[str, str, bool]]:
+    """A labelled table's rows, ordered by format and text so that inference is the same each time; nulls are left out."""
+    t = table.where(F.col(text_col).isNotNull() & F.col(format_col).isNotNull() & F.col(secret_col).isNotNull())
+    rows = t.select(F.col(text_col).alias("t"), F.col(format_col).alias("f"), F.col(secret_col).cast("boolean").alias("s")).orderBy("f", "t").limit(EXAMPLE_ROWS).collect()
+    return [(r["t"], r["f"], r["s"]) for r in rows]
+
+
 class _Tree:
     """A prefix tree with counts, and the merges on it."""
 
@@ -146,7 +160,7 @@ class Automaton:
 
 
 def infer(strings: list[str], name: str, secret: bool) -> Automaton:
-    """The automaton of a format: red states are kept, blue ones, their children, are merged into the first compatible red state or become red."""
+    """The automaton of a format: red states are kept, blue ones, their children, are merged into the latest compatible red state or become red."""
     t = _Tree(strings)
     red = [0]
     seen = {0}
@@ -155,7 +169,7 @@ def infer(strings: list[str], name: str, secret: bool) -> Automaton:
         if not blue:
             break
         q, x, b = max(blue, key=lambda e: (t.count[e[2]], -e[2]))
-        for a in red:
+        for a in reversed(red):  # rare states are compatible with many; the latest one is nearest to them, the first would blur how a format begins
             if t.compatible(a, b):
                 t.next[q][x] = a
                 t.fold(a, b)
@@ -164,8 +178,10 @@ def infer(strings: list[str], name: str, secret: bool) -> Automaton:
             red.append(b)
             seen.add(b)
     number = {q: i for i, q in enumerate(red)}
-    step = np.repeat(np.arange(len(red), dtype=np.int32)[:, None], _K, axis=1)
-    cost = np.zeros((len(red), _K + 1), dtype=np.float32)
+    # after a symbol that no example has there, a look-alike goes on as it was; a credential is lost, in a last state of equal chances
+    lost = len(red)
+    step = np.repeat(np.full(lost + 1, lost, dtype=np.int32)[:, None] if secret else np.arange(lost + 1, dtype=np.int32)[:, None], _K, axis=1)
+    cost = np.full((lost + 1, _K + 1), -math.log(_K + 1), dtype=np.float32)
     for q, i in number.items():
         total = t.count[q] + 0.02 * (_K + 1)
         cost[i] = math.log(0.02 / total)
@@ -183,33 +199,41 @@ def train(examples: list[tuple[str, str, bool]] | None = None) -> list[Automaton
 
 
 def likelihoods(automata: list[Automaton], buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """[candidate, automaton] log-likelihoods, all candidates a character at a time."""
+    """[candidate, automaton] log-likelihoods, all candidates and automata a character at a time."""
+    # all automata as one, a state of each side by side
+    base = np.concatenate([[0], np.cumsum([len(m.step) for m in automata])])[:-1]
+    step = np.concatenate([m.step + b for m, b in zip(automata, base, strict=True)]).ravel()
+    cost = np.concatenate([m.cost for m in automata]).ravel()
     length = end - start
     order = np.argsort(-length, kind="stable")
     s, n = start[order], length[order]
     out = np.zeros((len(start), len(automata)))
     live = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), side="right") if len(n) else []
-    for j, m in enumerate(automata):
-        state, total = np.zeros(len(s), dtype=np.int32), np.zeros(len(s))
-        for t, a in enumerate(live):
-            x = _SYM[buf[s[:a] + t]]
-            total[:a] += m.cost[state[:a], x]
-            state[:a] = m.step[state[:a], x]
-        out[order, j] = total + m.cost[state, _K]
+    state, total = np.tile(base, (len(s), 1)), np.zeros((len(s), len(automata)))
+    for t, a in enumerate(live):
+        x = _SYM[buf[s[:a] + t]].astype(np.int64)[:, None]
+        total[:a] += cost[state[:a] * (_K + 1) + x]
+        state[:a] = step[state[:a] * _K + x]
+    out[order] = total + cost[state * (_K + 1) + _K]
     return out
 
 
 def find(automata: list[Automaton], buf: np.ndarray, offsets: np.ndarray, margin: float = MARGIN) -> tuple[np.ndarray, ...]:
-    """(document, start, end, format, score) of the secrets in a slice, in order."""
+    """(document, start, end, format, score) of the secrets in a slice, in order; candidates that are equal are scored once."""
     w = tx.words(buf, offsets, _KEY[buf])
-    long = np.flatnonzero(w.end - w.start >= MIN_LENGTH)
-    doc, start, end = w.doc[long], w.start[long], w.end[long]
-    ll = likelihoods(automata, buf, start, end)
+    if not len(w.start):
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none, np.zeros(0)
+    _, one, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
     secret = np.array([m.secret for m in automata])
-    best = np.where(secret, ll, -np.inf).argmax(axis=1) if len(long) else np.zeros(0, np.int64)
-    score = ll[np.arange(len(long)), best] - np.where(secret, -np.inf, ll).max(axis=1, initial=-np.inf)
-    ok = score >= margin
-    return doc[ok], start[ok], end[ok], best[ok], score[ok]
+    best, score = np.zeros(len(one), dtype=np.int64), np.zeros(len(one))
+    for i in range(0, len(one), 1 << 14):
+        at = one[i : i + (1 << 14)]
+        ll = likelihoods(automata, buf, w.start[at], w.end[at])
+        best[i : i + len(at)] = k = np.where(secret, ll, -np.inf).argmax(axis=1)
+        score[i : i + len(at)] = ll[np.arange(len(at)), k] - np.where(secret, -np.inf, ll).max(axis=1, initial=-np.inf)
+    ok = np.flatnonzero(score[back] >= margin)
+    return w.doc[ok], w.start[ok], w.end[ok], best[back[ok]], score[back[ok]]
 
 
 RESULT = "doc_id long, start long, length long, format string, score double"

@@ -48,6 +48,8 @@ STEPS = 12
 #: Polarities from which a word may count as in the lexicon; labelled documents decide.
 LEVELS = (0.98, 0.95, 0.9, 0.8, 0.6)
 CHUNK = 2 << 20
+#: Numbers of a vector that are added up together.
+SLICE = 1 << 15
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -196,7 +198,8 @@ def _pairs(pairs: bytes, counts: bytes, v: int) -> tuple[np.ndarray, np.ndarray,
 def polarities(edges: DataFrame, v: int, toxic: np.ndarray, clean: np.ndarray, restart: float, steps: int) -> np.ndarray:
     """The polarity of each word by two random walks with restart over positive pointwise mutual information of all pairs.
 
-    Edges stay spread over the cluster; each step sends the driver one vector of the vocabulary's size from each task.
+    Edges stay spread over the cluster.  Each task sums its own into a vector, vectors are added up by slices on
+    executors, and each step sends the driver one vector of the vocabulary's size.
     """
 
     def summed(df: DataFrame, f) -> np.ndarray:
@@ -206,10 +209,18 @@ def polarities(edges: DataFrame, v: int, toxic: np.ndarray, clean: np.ndarray, r
                 for xs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     total = total + f(*_pairs(*xs, v))
             if not isinstance(total, int):
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
+                at = range(0, len(total), SLICE)
+                yield pa.RecordBatch.from_arrays([pa.array([k // SLICE for k in at], pa.int32()), pa.array([total[k : k + SLICE].tobytes() for k in at], pa.binary())], names=["k", "x"])
 
-        parts = [np.frombuffer(r["x"]) for r in df.select("pairs", "counts").mapInArrow(run, "x binary").collect()]
-        return np.sum(parts, axis=0) if parts else np.zeros(v)
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    sums[k] = sums.get(k, 0) + np.frombuffer(x)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["k", "x"])
+
+        parts = df.select("pairs", "counts").mapInArrow(run, "k int, x binary").repartition(-(-2 * v // SLICE), "k").mapInArrow(add, "k int, x binary").collect()
+        return np.concatenate([np.frombuffer(r["x"]) for r in sorted(parts)]) if parts else np.zeros(v)
 
     def both(i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.bincount(i, x, v) + np.bincount(j, y, v)

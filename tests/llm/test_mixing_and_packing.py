@@ -36,13 +36,26 @@ def test_mix_of_odd_rows(spark):
     rows = [*corpus(0), (500, "w " * 9000, "en", "src0"), (501, "x", "en", None), (None, "y z", "en", "src1"), (3, "again", "en", "src1")]
     d = documents(spark, rows)
     got = mixing.mix(d, block_tokens=50, shard_tokens=2000, budget_share=1.0).collect()
-    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter((i, s or "(none)") for i, _, _, s in rows)
+    assert Counter((r["doc_id"], r["source"]) for r in got if r["start_word"] == 0) == Counter((i, s or "(none)") for i, _, _, s in rows)
+    size = Counter()
+    for r in got:
+        size[r["doc_id"], r["source"]] += r["n_words"]
+    assert sum(size.values()) == sum(len((t or "").split()) for _, t, *_ in rows) and size[500, "src0"] == 9000
     some = mixing.mix(d, {"src0": 3, "src1": 1}, block_tokens=50, shard_tokens=2000, budget_share=0.2).collect()
-    blocks = {(r["source"], r["shard"], r["block"]) for r in some}
+    blocks = Counter()
+    for r in some:
+        blocks[r["source"], r["shard"], r["block"]] += r["n_words"]
     by = Counter(s for s, *_ in blocks)
     assert set(by) == {"src0", "src1"} and 2 * by["src1"] <= by["src0"]
     assert {(r["source"], r["shard"]): r["quota"] for r in some} == Counter((s, h) for s, h, _ in blocks)
+    # blocks are of equal tokens but for the last one of a source and shard, so that token shares follow the weights
+    shards = len({h for _, h, _ in blocks})
+    assert max(blocks.values()) == 50 and all(by[s] * 50 - sum(n for (x, *_), n in blocks.items() if x == s) <= 50 * shards for s in by)
     assert sorted(map(tuple, some)) == sorted(map(tuple, mixing.mix(d, {"src0": 3, "src1": 1}, block_tokens=50, shard_tokens=2000, budget_share=0.2).collect()))
+    kept = mixing.mixed_documents(d, block_tokens=50, shard_tokens=2000, weights={"src0": 3, "src1": 1}, budget_share=0.2)
+    first = Counter(r["doc_id"] for r in some if r["start_word"] == 0)
+    assert Counter(r["doc_id"] for r in kept.collect()) == first
+    assert Counter(r["doc_id"] for r in mixing.mixed_documents(d, block_tokens=50, shard_tokens=2000, budget_share=1.0).collect()) == Counter(i for i, *_ in rows)
     assert mixing.mix(d.where("false")).count() == 0
     assert mixing.mixed_documents(d).columns == d.columns
 
@@ -213,7 +226,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
             t = f"{t[:s]}[SECRET]{t[s + n :]}"
         assert r["text"] == t and r["n_chars"] == len(t)
     assert {r["doc_id"] for r in frames["secret_redaction"].collect()} == one
-    chosen = {r["doc_id"] for r in mixing.mix(frames["secret_redaction"]).collect()}
+    chosen = {r["doc_id"] for r in mixing.mix(frames["secret_redaction"]).where("start_word = 0").collect()}
     assert {r["doc_id"] for r in frames["source_mixture"].collect()} == chosen
     size = {r["doc_id"]: len(words(r["text"])) for r in frames["source_mixture"].collect() if words(r["text"])}
     assert {d: sum(n for _, n in v) for d, v in covered(frames["packed_windows"].collect()).items()} == size
