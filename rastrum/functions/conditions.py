@@ -91,3 +91,8 @@ def class_of(name: Column) -> Column:
 def class_name(class_id: Column) -> Column:
     pairs = [F.lit(x) for kv in CLASS_NAMES.items() for x in kv]
     return F.try_element_at(F.create_map(*pairs), class_id)
+
+
+def time_and_weather(name: Column) -> tuple[Column, Column]:
+    """The parts of a name such as night_rain."""
+    return F.split_part(name, F.lit("_"), F.lit(1)), F.split_part(name, F.lit("_"), F.lit(2))

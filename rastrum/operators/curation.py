@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rastrum.functions.conditions import CLASS_NAMES, CONDITIONS, class_name, percent
@@ -10,13 +11,26 @@ from rastrum.functions.conditions import CLASS_NAMES, CONDITIONS, class_name, pe
 SEED = "42"
 
 
-def class_histogram(cells: DataFrame, total_cells: int) -> DataFrame:
-    """(frame_id, class_id, n, pct) of sparse label cells; class 0 fills the rest of the raster."""
+def frame_classes(cells: DataFrame, total_cells: int) -> DataFrame:
+    """(frame_id, classes): the (class_id, n) of each frame's sparse label cells; class 0 fills the rest of the raster."""
     seen = cells.groupBy("frame_id", "class_id").agg(F.count("*").alias("n"))
     # the rest is added to the frame's own list, so that cells are made and counted once
-    per = seen.groupBy("frame_id").agg(F.collect_list(F.struct("class_id", "n")).alias("l"), (F.lit(total_cells).cast("bigint") - F.sum("n")).alias("rest"))
+    per = seen.groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("class_id", "n"))).alias("l"), (F.lit(total_cells).cast("bigint") - F.sum("n")).alias("rest"))
     whole = F.when(F.col("rest") > 0, F.array_append("l", F.struct(F.lit(0).alias("class_id"), F.col("rest").alias("n")))).otherwise(F.col("l"))
-    return per.select("frame_id", F.inline(whole)).withColumn("pct", percent(F.col("n"), F.lit(total_cells)))
+    return per.select("frame_id", whole.alias("classes"))
+
+
+def class_histogram(cells: DataFrame, total_cells: int) -> DataFrame:
+    """(frame_id, class_id, n, pct) of sparse label cells."""
+    return frame_classes(cells, total_cells).select("frame_id", F.inline("classes")).withColumn("pct", percent(F.col("n"), F.lit(total_cells)))
+
+
+def frame_records(per: DataFrame) -> DataFrame:
+    """The columns of frame_stats and the list itself, from each frame's list of classes: no further grouping."""
+    c = F.col("classes")
+    best = F.array_max(F.transform(c, lambda x: F.struct(x["n"].alias("n"), (-x["class_id"]).alias("k"))))
+    summed = lambda keep: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + F.when(keep(x), x["n"]).otherwise(F.lit(0).cast("bigint")))
+    return per.select("frame_id", summed(lambda x: F.lit(True)).alias("total_pixels"), summed(lambda x: x["class_id"] > 0).alias("object_pixels"), F.size(c).cast("bigint").alias("num_classes"), (-best["k"]).alias("dominant"), "classes")
 
 
 def frame_stats(hist: DataFrame) -> DataFrame:
@@ -41,16 +55,30 @@ def top_frames(frames: DataFrame, k: int = 2) -> DataFrame:
     return frames.where("condition IS NOT NULL").selectExpr("*", "row_number() OVER (PARTITION BY condition ORDER BY object_pixels DESC, ord) AS place").where(F.col("place") <= k)
 
 
-def stratified_split(frames: DataFrame, key: str = "frame_id", strata: tuple[str, ...] = ("condition", "dominant"), seed: str = SEED) -> DataFrame:
-    """Half train, a quarter val, the rest test in every stratum, in the order of a seeded hash; no stratum of null condition."""
-    by = ", ".join(strata)
-    ranked = frames.where(F.col(strata[0]).isNotNull()).selectExpr(
-        "*",
-        f"row_number() OVER (PARTITION BY {by} ORDER BY md5(concat(CAST({key} AS STRING), '{seed}')), {key}) AS place",
-        f"count(*) OVER (PARTITION BY {by}) AS stratum",
-    )
-    train, val = F.floor(F.col("stratum") * 0.5), F.floor(F.col("stratum") * 0.25)
-    return ranked.withColumn("split", F.when(F.col("place") <= train, "train").when(F.col("place") <= train + val, "val").otherwise("test"))
+def stratified_split(frames: DataFrame, key: str = "frame_id", strata: tuple[str, ...] = ("condition", "dominant"), seed: str = SEED, carry: tuple[str, ...] = (), digits: int = 2) -> DataFrame:
+    """(key, strata, carry, split): half train, a quarter val, the rest test in every stratum, in the order of a seeded hash; no stratum of null condition.
+
+    A stratum may hold any share of the rows, so it is ranked in pieces of the
+    first hex digits of the hash; a piece starts at the number of rows before
+    it.  Those starts, 16^digits a stratum at most, are broadcast: strata must
+    be few, as conditions and classes are.  Both uses of the ranks read one
+    exchange.  Rows of one key are ordered by what they carry.
+    """
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
+    rows = frames.where(F.col(strata[0]).isNotNull()).select(key, *strata, *carry, h.alias("h__")).withColumn("p__", F.substring("h__", 1, digits))
+    piece = W.partitionBy(*strata, "p__")
+    ranked = rows.withColumn("r__", F.row_number().over(piece.orderBy("h__", key, *carry))).withColumn("n__", F.count("*").over(piece))
+    sizes = ranked.where("r__ = 1").select(*(F.col(c).alias(f"{c}__") for c in strata), F.col("p__").alias("q__"), F.col("n__").alias("m__"))
+    stratum = W.partitionBy(*(f"{c}__" for c in strata))
+    before = F.sum("m__").over(stratum.orderBy("q__").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select("*", F.coalesce(before, F.lit(0)).alias("before__"), F.sum("m__").over(stratum).alias("stratum__"))
+    same = F.col("p__").eqNullSafe(F.col("q__"))  # an equality would add a filter below one of the two uses
+    for c in strata:
+        same &= F.col(c).eqNullSafe(F.col(f"{c}__"))
+    place = F.col("before__") + F.col("r__")
+    train, val = F.floor(F.col("stratum__") * 0.5), F.floor(F.col("stratum__") * 0.25)
+    split = F.when(place <= train, "train").when(place <= train + val, "val").otherwise("test")
+    return ranked.join(F.broadcast(starts), same).select(key, *strata, *carry, split.alias("split"))
 
 
 def condition_distribution(frames: DataFrame) -> DataFrame:
@@ -78,19 +106,30 @@ def condition_pixels(hist: DataFrame, frames: DataFrame) -> DataFrame:
     return share.select("condition", "class_id", class_name(F.col("class_id")).alias("class_name"), "pixels", F.round(percent(F.col("pixels"), F.col("whole")), 6).alias("pct"))
 
 
-def class_representation(hist: DataFrame, split: DataFrame) -> DataFrame:
-    """For each split and each of the six classes: frames with it and pixels, with shares; absent classes are 0."""
-    spark = hist.sparkSession
-    rows = hist.join(split.select("frame_id", "split"), "frame_id").groupBy("split", "class_id").agg(F.count("*").alias("frames"), F.sum("n").alias("pixels"))
-    whole = split.groupBy("split").agg(F.count("*").alias("split_frames"))
-    pixels = rows.groupBy("split").agg(F.sum("pixels").alias("split_pixels"))
-    classes = spark.createDataFrame(list(CLASS_NAMES.items()), "class_id int, class_name string")
-    grid = whole.join(pixels, "split", "left").crossJoin(F.broadcast(classes)).join(rows, ["split", "class_id"], "left").na.fill(0, ["frames", "pixels", "split_pixels"])
-    return grid.select("split", "class_id", "class_name", "frames", F.round(percent(F.col("frames"), F.col("split_frames")), 6).alias("frames_pct"), "pixels", F.round(percent(F.col("pixels"), F.col("split_pixels")), 6).alias("pixels_pct"))
+def _marked(split: DataFrame) -> DataFrame:
+    """(split, condition, class_id, n) of every class of every frame, and a class -1 that counts the frame itself."""
+    frame = F.struct(F.lit(-1).alias("class_id"), F.lit(0).cast("bigint").alias("n"))
+    return split.select("split", "condition", F.inline(F.array_append("classes", frame)))
+
+
+def class_representation(split: DataFrame) -> DataFrame:
+    """For each split and each of the six classes: frames with it and pixels, with shares; absent classes are 0.
+
+    ``split`` carries the list of classes, so that boxes are folded once.
+    """
+    rows = _marked(split).groupBy("split", "class_id").agg(F.count("*").alias("frames"), F.sum("n").alias("pixels"))
+    per = rows.groupBy("split").agg(F.map_from_entries(F.collect_list(F.struct("class_id", F.struct("frames", "pixels")))).alias("of"), F.max(F.when(F.col("class_id") == -1, F.col("frames"))).alias("whole"), F.sum("pixels").alias("all"))
+    classes = F.array(*(F.struct(F.lit(k).alias("class_id"), F.lit(v).alias("class_name")) for k, v in CLASS_NAMES.items()))
+    grid = per.select("*", F.inline(classes))
+    of = F.try_element_at("of", F.col("class_id"))
+    grid = grid.select("split", "class_id", "class_name", "whole", "all", F.coalesce(of["frames"], F.lit(0)).alias("frames"), F.coalesce(of["pixels"], F.lit(0)).alias("pixels"))
+    return grid.select("split", "class_id", "class_name", "frames", F.round(percent(F.col("frames"), F.col("whole")), 6).alias("frames_pct"), "pixels", F.round(percent(F.col("pixels"), F.col("all")), 6).alias("pixels_pct"))
 
 
-def split_detail(hist: DataFrame, split: DataFrame) -> DataFrame:
-    """Pixels by split and class, and the same for each condition of the test split, in one pass of grouping sets."""
-    rows = hist.join(split.select("frame_id", "split", "condition"), "frame_id")
-    g = rows.groupingSets([["split", "class_id"], ["split", "condition", "class_id"]], "split", "condition", "class_id").agg(F.sum("n").alias("pixels"), F.count("*").alias("frames"), F.grouping("condition").alias("g"))
-    return g.where("g = 1 OR split = 'test'").select("split", F.when(F.col("g") == 1, "(all)").otherwise(F.col("condition")).alias("condition"), "class_id", "frames", "pixels")
+def split_detail(split: DataFrame) -> DataFrame:
+    """Frames and pixels by split and class, and the same for each condition of the test split, with shares, in one pass of grouping sets."""
+    g = _marked(split).groupingSets([["split", "class_id"], ["split", "condition", "class_id"]], "split", "condition", "class_id").agg(F.sum("n").alias("pixels"), F.count("*").alias("frames"), F.grouping("condition").alias("g"))
+    rows = g.where("g = 1 OR split = 'test'").select("split", F.when(F.col("g") == 1, "(all)").otherwise(F.col("condition")).alias("condition"), "class_id", "frames", "pixels")
+    own = W.partitionBy("split", "condition")  # a few rows each by now
+    shares = rows.select("*", F.max(F.when(F.col("class_id") == -1, F.col("frames"))).over(own).alias("whole"), F.sum("pixels").over(own).alias("all")).where("class_id >= 0")
+    return shares.select("split", "condition", "class_id", "frames", F.round(percent(F.col("frames"), F.col("whole")), 6).alias("frames_pct"), "pixels", F.round(percent(F.col("pixels"), F.col("all")), 6).alias("pixels_pct"))

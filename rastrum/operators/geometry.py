@@ -94,9 +94,14 @@ def normalised(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]
 
 
 def enhanced(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
-    """Narrower ranges, logarithmic depth and a weight by nearness, which is applied when normalising and again when placing."""
+    """Narrower ranges, logarithmic depth and a weight by nearness, which is applied when normalising and again when placing.
+
+    A value is clipped to its range before it is weighted, and to 255 after;
+    the second weight may bring it to 765.
+    """
     w = F.least(F.lit(3.0), F.greatest(F.lit(0.2), 3 / (z + 1)))
-    fit = lambda v: F.least(F.lit(255.0), F.greatest(F.lit(0.0), v * 255 * w)) * w
+    unit = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+    fit = lambda v: F.least(F.lit(255.0), unit(v) * 255 * w) * w
     return fit((x + 30) / 60), fit((y + 15) / 30), fit(F.log(z + 1) / F.log(F.lit(121.0)))
 
 

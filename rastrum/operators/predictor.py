@@ -1,7 +1,7 @@
 """The interface of prompted segmentation and a deterministic stand-in.
 
 A predictor gets an image and its boxes and returns one mask a box; real
-models load lazily, once a Python worker.  ``BoxFill`` marks the box itself.
+models load lazily, once a task.  ``BoxFill`` marks the box itself.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Predictor(Protocol):
@@ -28,20 +29,35 @@ class BoxFill:
 SCHEMA = "frame_id string, h int, w int, status string, data binary"
 
 
-def composite_masks(boxes: DataFrame, height: int, width: int, make: Callable[[], Predictor] = BoxFill) -> DataFrame:
-    """One label raster a frame from its boxes (frame_id, class_id, x0..y1); a frame whose prediction fails has status error and no data."""
+def composite_masks(boxes: DataFrame, height: int, width: int, make: Callable[[], Predictor] = BoxFill, images: DataFrame | None = None) -> DataFrame:
+    """One label raster a frame from its boxes (frame_id, class_id, x0..y1); a frame whose prediction fails has status error and no data.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seg, status = np.zeros((height, width), dtype=np.uint8), "ok"
-        try:
-            masks = make().masks(None, pdf[["x0", "y0", "x1", "y1"]].to_numpy(), height, width)
-            for m, c in zip(masks, pdf["class_id"], strict=True):
-                seg[m] = np.maximum(seg[m], c)
-        except Exception as e:  # a bad frame must not fail the job
-            status = f"error: {type(e).__name__}"
-        return pd.DataFrame([(pdf["frame_id"].iloc[0], height, width, status, seg.tobytes() if status == "ok" else None)], columns=["frame_id", "h", "w", "status", "data"])
+    ``images`` has (frame_id, h, w, data of three bytes a pixel), one row a
+    frame; a frame without one is predicted from its boxes alone.  A task makes
+    one predictor, for its first frame, and keeps it.
+    """
 
-    return boxes.groupBy("frame_id").applyInPandas(run, SCHEMA)
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predictor: Predictor | None = None
+        for pdf in it:
+            out = []
+            for r in pdf.itertuples():
+                seg, status = np.zeros((height, width), dtype=np.uint8), "ok"
+                try:
+                    predictor = predictor or make()
+                    image = None if r.data is None else np.frombuffer(r.data, np.uint8).reshape(int(r.h), int(r.w), 3)
+                    rows = np.array([list(b) if isinstance(b, tuple) else list(b.values()) for b in r.items], dtype=np.int64)
+                    for m, c in zip(predictor.masks(image, rows[:, 1:], height, width), rows[:, 0], strict=True):
+                        seg[m] = np.maximum(seg[m], c)
+                except Exception as e:  # a bad frame must not fail the job
+                    status = f"error: {type(e).__name__}"
+                out.append((r.frame_id, height, width, status, seg.tobytes() if status == "ok" else None))
+            yield pd.DataFrame(out, columns=["frame_id", "h", "w", "status", "data"])
+
+    per = boxes.groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("class_id", "x0", "y0", "x1", "y1"))).alias("items"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("h", "int"), ("w", "int"), ("data", "binary"))]
+    with_image = per.select("*", *none) if images is None else per.join(images.select("frame_id", "h", "w", "data"), "frame_id", "left")
+    return with_image.mapInPandas(run, SCHEMA)
 
 
 def cells_of(masks: DataFrame) -> DataFrame:

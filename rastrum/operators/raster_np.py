@@ -18,7 +18,6 @@ def box_count(mask: np.ndarray, reach: int = 3) -> np.ndarray:
     s[reach + 1 : reach + 1 + h, reach + 1 : reach + 1 + w] = mask
     s = s.cumsum(0).cumsum(1)
     k = 2 * reach + 1
-    s[:, :] = s
     return s[k:, k:] - s[:-k, k:] - s[k:, :-k] + s[:-k, :-k]
 
 
@@ -75,26 +74,28 @@ def _spread(a: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
     return np.maximum.reduce([p[r + y : r + y + h, r + x : r + x + w] for y, x in offsets])
 
 
-_SQUARE = [(y, x) for y in range(-1, 2) for x in range(-1, 2)]
-_ELLIPSE = [(y, x) for y in range(-3, 4) for x in range(-3, 4) if (y / 3.5) ** 2 + (x / 3.5) ** 2 <= 1]
+#: The usual 7 x 7 elliptic element: 1, 5, 7, 7, 7, 5 and 1 cells a row.
+_ELLIPSE = [(y, x) for y in range(-3, 4) for x in range(-3, 4) if abs(x) <= round((9 - y * y) ** 0.5)]
 
 
 def gap_filled(a: np.ndarray, reach: float = 3.0) -> np.ndarray:
-    """Empty cells within ``reach`` of a filled one take the dilated channels, by nearness."""
-    filled = a.any(axis=2)
-    d = distance(filled, int(reach) + 1)
-    gap = ~filled & (d <= reach)
-    w = np.clip(1 / (d + 1), 0, 1)[:, :, None]
-    return np.where(gap[:, :, None], a * (1 - w) + _spread(a, _SQUARE) * w, a)
+    """In each channel, empty cells within ``reach`` of a filled one take the channel's elliptic 7 x 7 dilation, by nearness."""
+    out = a.astype(np.float64)
+    spread = _spread(out, _ELLIPSE)
+    for c in range(a.shape[2]):
+        filled = a[:, :, c] > 0
+        d = distance(filled, int(reach) + 1)
+        gap = ~filled & (d <= reach)
+        out[gap, c] = a[gap, c] * (1 - 1 / (d[gap] + 1)) + spread[gap, c] / (d[gap] + 1)
+    return out
 
 
 def dilated(a: np.ndarray, rounds: int = 3) -> np.ndarray:
-    """An elliptic 7 x 7 dilation, repeated; only newly covered cells change."""
-    filled = a.any(axis=2)
+    """An elliptic 7 x 7 dilation of each channel, repeated; only cells that are newly covered in the channel change."""
     out = a
     for _ in range(rounds):
         out = _spread(out, _ELLIPSE)
-    return np.where(~filled[:, :, None] & out.any(axis=2)[:, :, None], out, a)
+    return np.where((a <= 0) & (out > 0), out, a)
 
 
 def max_scaled(a: np.ndarray) -> np.ndarray:
@@ -144,15 +145,15 @@ def outlined(image: np.ndarray, boxes: np.ndarray, colour: tuple[int, int, int]
 SCHEMA = "frame_id string, h int, w int, status string, data binary"
 
 
-def per_frame(rasters: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], channels: int = 3) -> DataFrame:
-    """A kernel over every dense raster (frame_id, h, w, data); a frame it fails on has its status and no data."""
+def per_frame(rasters: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], channels: int = 3, dtype: type = np.uint8) -> DataFrame:
+    """A kernel from every dense raster (frame_id, h, w, data) to one of bytes; a frame it fails on has its status and no data."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for r in pdf.itertuples():
                 try:
-                    a = np.frombuffer(r.data, np.uint8).reshape((r.h, r.w, channels) if channels > 1 else (r.h, r.w))
+                    a = np.frombuffer(r.data, dtype).reshape((r.h, r.w, channels) if channels > 1 else (r.h, r.w))
                     b = kernel(a)
                     out.append((r.frame_id, b.shape[0], b.shape[1], "ok", b.astype(np.uint8).tobytes()))
                 except Exception as e:  # a bad frame must not fail the job
@@ -162,11 +163,11 @@ def per_frame(rasters: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], ch
     return rasters.select("frame_id", "h", "w", "data").mapInPandas(run, SCHEMA)
 
 
-def dense(cells: DataFrame, h: int, w: int, channels: list[str]) -> DataFrame:
+def dense(cells: DataFrame, h: int, w: int, channels: list[str], dtype: type = np.uint8) -> DataFrame:
     """Dense rasters of sparse cells (frame_id, y, x, channels...)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((h, w, len(channels)), dtype=np.uint8)
+        a = np.zeros((h, w, len(channels)), dtype=dtype)
         a[pdf["y"], pdf["x"]] = pdf[channels].to_numpy()
         return pd.DataFrame([(pdf["frame_id"].iloc[0], h, w, "ok", a.tobytes())], columns=["frame_id", "h", "w", "status", "data"])
 

@@ -107,8 +107,10 @@ def region_top_weather(df: DataFrame) -> DataFrame:
 
 
 def class_type_rollup(objects: DataFrame) -> DataFrame:
+    """Objects by class, by type and by both, and their share of all objects; each of the three sets adds up to all."""
     g = objects.groupingSets([["name"], ["type"], ["name", "type"]], "name", "type").agg(F.count("*").alias("n"))
-    return g.select(F.coalesce("name", F.lit("(all)")).alias("name"), F.coalesce("type", F.lit("(all)")).alias("type"), "n")
+    total = F.sum("n").over(W.partitionBy()) / 3  # over one row a class and type
+    return g.select(F.coalesce("name", F.lit("(all)")).alias("name"), F.coalesce("type", F.lit("(all)")).alias("type"), "n", F.round(F.col("n") / total * 100, 6).alias("pct"))
 
 
 def _focus(objects: DataFrame) -> DataFrame:
@@ -117,8 +119,11 @@ def _focus(objects: DataFrame) -> DataFrame:
 
 
 def focus_per_frame(objects: DataFrame) -> DataFrame:
-    per = _focus(objects).groupBy("category", "frame_id").agg(F.count("*").alias("n"))
-    return per.groupBy("category").agg(F.sum("n").alias("total"), F.count("*").alias("frames"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"))
+    """Per category that occurs: objects, frames with any, the most and the mean of those frames, and the share of all objects."""
+    per = objects.groupBy("frame_id").agg(F.count("*").alias("objects"), *(F.count_if(F.col(c).isin(v)).alias(k) for k, (c, v) in FOCUS.items()))
+    whole = per.agg(F.sum("objects").alias("objects"), *(F.struct(F.sum(k).alias("total"), F.count_if(F.col(k) > 0).alias("frames"), F.max(k).alias("most")).alias(k) for k in FOCUS))
+    rows = whole.select("objects", F.inline(F.array(*(F.struct(F.lit(k).alias("category"), F.col(k)["total"].alias("total"), F.col(k)["frames"].alias("frames"), F.col(k)["most"].alias("most")) for k in FOCUS)))).where("total > 0")
+    return rows.select("category", "total", "frames", "most", F.round(F.col("total") / F.col("frames"), 6).alias("mean"), F.round(F.col("total") / F.col("objects") * 100, 6).alias("pct"))
 
 
 def size_stats(objects: DataFrame) -> DataFrame:
@@ -157,7 +162,19 @@ def traffic_density(hist: DataFrame) -> DataFrame:
     return hist.agg(s(k < 5)("low"), s((k >= 5) & (k <= 15))("medium"), s(k > 15)("high"), s(k > 50)("very_high"))
 
 
-def scene_complexity(hist: DataFrame) -> DataFrame:
+def scene_complexity(objects: DataFrame) -> DataFrame:
+    """Frames of fewer than 3, of 3 to 6 and of more than 6 classes of objects, and their share."""
+    per = objects.groupBy("frame_id").agg(F.count_distinct("name").alias("k"))
+    kind = F.when(F.col("k") < 3, "simple").when(F.col("k") <= 6, "moderate").otherwise("complex")
+    return distribution(per.select(kind.alias("complexity")), "complexity")
+
+
+def map_rows(report: DataFrame, column: str, key: str, value: str) -> DataFrame:
+    """One row an entry of a map, as the JSON reports have them; a null or empty map has none."""
+    return report.select(F.explode(column).alias(key, value))
+
+
+def objects_per_frame(hist: DataFrame) -> DataFrame:
     """Weighted mean, range and sample deviation of objects a frame, from the histogram."""
     k, n = F.col("k"), F.col("n_frames")
     a = hist.agg(F.sum(n).alias("frames"), F.sum(k * n).alias("objects"), F.sum(k * k * n).alias("squares"), F.min("k").alias("least"), F.max("k").alias("most"))

@@ -106,9 +106,11 @@ SELECT condition, train, val, test, round(train / n * 100, 6) AS train_pct, roun
 w AS (SELECT split, count(*) AS sf FROM p GROUP BY split), z AS (SELECT split, sum(pixels) AS sp FROM a GROUP BY split)
 SELECT w.split, CAST(k.class_id AS INT) AS class_id, {_NAME.replace("class_id", "k.class_id")} AS class_name, coalesce(frames, 0) AS frames, round(coalesce(frames, 0) / sf * 100, 6) AS frames_pct, coalesce(pixels, 0) AS pixels, round(coalesce(pixels, 0) / sp * 100, 6) AS pixels_pct
 FROM w JOIN z ON z.split = w.split CROSS JOIN (SELECT unnest(range(6)) AS class_id) k LEFT JOIN a ON a.split = w.split AND a.class_id = k.class_id""",
-    "split_class_detail": f"""WITH {STATS}, j AS (SELECT split, condition, class_id, n FROM h JOIN p USING (frame_id))
-SELECT split, '(all)' AS condition, class_id, count(*) AS frames, CAST(sum(n) AS BIGINT) AS pixels FROM j GROUP BY split, class_id
-UNION ALL SELECT split, condition, class_id, count(*), CAST(sum(n) AS BIGINT) FROM j WHERE split = 'test' GROUP BY split, condition, class_id""",
+    "split_class_detail": f"""WITH {STATS}, j AS (SELECT split, condition, class_id, n FROM h JOIN p USING (frame_id)),
+a AS (SELECT split, '(all)' AS condition, class_id, count(*) AS frames, CAST(sum(n) AS BIGINT) AS pixels FROM j GROUP BY split, class_id
+UNION ALL SELECT split, condition, class_id, count(*), CAST(sum(n) AS BIGINT) FROM j WHERE split = 'test' GROUP BY split, condition, class_id),
+w AS (SELECT split, '(all)' AS condition, count(*) AS sf FROM p GROUP BY split UNION ALL SELECT split, condition, count(*) FROM p WHERE split = 'test' GROUP BY split, condition)
+SELECT split, condition, class_id, frames, round(frames / sf * 100, 6) AS frames_pct, pixels, round(pixels / sum(pixels) OVER (PARTITION BY split, condition) * 100, 6) AS pixels_pct FROM a JOIN w USING (split, condition)""",
     "condition_pixel_stats": f"""WITH {STATS}, a AS (SELECT condition, class_id, CAST(sum(n) AS BIGINT) AS pixels FROM h JOIN fc USING (frame_id) WHERE condition IS NOT NULL GROUP BY ALL)
 SELECT condition, class_id, {_NAME} AS class_name, pixels, round(pixels / sum(pixels) OVER (PARTITION BY condition) * 100, 6) AS pct FROM a""",
     "box_filter": f"WITH {OBJECTS} SELECT frame_id, seq, class_id, x0, y0, x1, y1, area FROM b",
@@ -134,7 +136,7 @@ SELECT frame_id, y, x, CASE WHEN ig THEN 1 WHEN own IS NOT NULL AND count(own) O
 a AS (SELECT frame_id, channel, CAST(count(*) FILTER (v <> 0) AS BIGINT) AS nonzero, count(DISTINCT v) AS values, min(v) AS least, max(v) AS most FROM l GROUP BY ALL)
 SELECT *, round(nonzero / {GRID_H * GRID_W} * 100, 6) AS density_pct, round(least / 255 * 100 - CASE WHEN channel = 'z' THEN 0 ELSE 50 END, 6) AS least_m, round(most / 255 * 100 - CASE WHEN channel = 'z' THEN 0 ELSE 50 END, 6) AS most_m FROM a""",
     "enhanced_points": f"""WITH {POINTS}, e AS (SELECT *, least(3, greatest(0.2::DOUBLE, 3 / (z + 1))) AS w FROM pr)
-SELECT frame_id, idx, round(least(255, greatest(0, (x + 30) / 60 * 255 * w)) * w, 4) AS xe, round(least(255, greatest(0, (y + 15) / 30 * 255 * w)) * w, 4) AS ye, round(least(255, greatest(0, ln(z + 1) / ln(121) * 255 * w)) * w, 4) AS ze FROM e""",
+SELECT frame_id, idx, round(least(255, least(1, greatest(0, (x + 30) / 60)) * 255 * w) * w, 4) AS xe, round(least(255, least(1, greatest(0, (y + 15) / 30)) * 255 * w) * w, 4) AS ye, round(least(255, least(1, greatest(0, ln(z + 1) / ln(121))) * 255 * w) * w, 4) AS ze FROM e""",
     "mask_resized": f"WITH {CELLS} SELECT frame_id, class_id, 4 * count(*) AS n FROM cells GROUP BY ALL",
     "weather_share": f"WITH {FRAMES} SELECT weather, count(*) AS n, round(count(*) / (SELECT count(*) FROM fw) * 100, 6) AS pct FROM fw GROUP BY weather",
     "time_weather_crosstab": f"WITH {FRAMES} SELECT time, {', '.join(f"count(*) FILTER (weather = '{w}') AS {w}" for w in _SIX)} FROM fw GROUP BY time",
@@ -150,8 +152,8 @@ SELECT *, round(CASE WHEN night > 0 THEN day / night ELSE 0 END, 6) AS day_night
     "region_top_weather": f"WITH {FRAMES}, n AS (SELECT region, weather, count(*) AS n FROM fw GROUP BY ALL) SELECT region, weather, n, round(n / total * 100, 6) AS pct FROM (SELECT *, sum(n) OVER (PARTITION BY region) AS total, row_number() OVER (PARTITION BY region ORDER BY n DESC, weather) AS place FROM n) WHERE place = 1",
     "weather_extremes": f"WITH {FRAMES}, n AS (SELECT weather, count(*) AS n FROM fw GROUP BY weather) SELECT (SELECT weather FROM n ORDER BY n DESC, weather LIMIT 1) AS most, (SELECT weather FROM n ORDER BY n, weather LIMIT 1) AS least",
     "top_classes": f"WITH {_OBJ} SELECT name, count(*) AS n FROM o GROUP BY name ORDER BY n DESC, name LIMIT 10",
-    "class_type_rollup": f"WITH {_OBJ} SELECT coalesce(name, '(all)') AS name, coalesce(type, '(all)') AS type, count(*) AS n FROM o GROUP BY GROUPING SETS ((name), (type), (name, type))",
-    "focus_per_frame": f"WITH {_OBJ}, {_FOCUS}, n AS (SELECT category, frame_id, count(*) AS n FROM fo GROUP BY ALL) SELECT category, CAST(sum(n) AS BIGINT) AS total, count(*) AS frames, max(n) AS most, round(avg(n), 6) AS mean FROM n GROUP BY category",
+    "class_type_rollup": f"WITH {_OBJ} SELECT coalesce(name, '(all)') AS name, coalesce(type, '(all)') AS type, count(*) AS n, round(count(*) / (SELECT count(*) FROM o) * 100, 6) AS pct FROM o GROUP BY GROUPING SETS ((name), (type), (name, type))",
+    "focus_per_frame": f"WITH {_OBJ}, {_FOCUS}, n AS (SELECT category, frame_id, count(*) AS n FROM fo GROUP BY ALL) SELECT category, CAST(sum(n) AS BIGINT) AS total, count(*) AS frames, max(n) AS most, round(avg(n), 6) AS mean, round(sum(n) / (SELECT count(*) FROM o) * 100, 6) AS pct FROM n GROUP BY category",
     "size_stats": f"""WITH {_OBJ}, {_FOCUS}, l AS (SELECT category, 'length' AS dimension, length AS v FROM fo UNION ALL SELECT category, 'width', width FROM fo UNION ALL SELECT category, 'height', height FROM fo)
 SELECT category, dimension, count(v) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS least, round(max(v), 6) AS most FROM l WHERE v IS NOT NULL GROUP BY ALL""",
     "occlusion_share": f"WITH {_OBJ}, {_FOCUS}, n AS (SELECT category, occlusion, count(*) AS n FROM fo GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY category) * 100, 6) AS pct FROM n",
@@ -160,5 +162,6 @@ SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, relative_pos
     "ego_lane": f"WITH {_OBJ}, {_FOCUS} SELECT category, count(*) FILTER (relative_position IN ('EgoLane', 'LeftAndEgoLane', 'RightAndEgoLane')) AS ego_lane, count(*) FILTER (relative_position NOT IN ('OffRoad', 'unknown')) AS on_road, count(*) FILTER (relative_position = 'OffRoad') AS off_road FROM fo GROUP BY category",
     "objects_histogram": f"WITH {_OBJ} SELECT k, count(*) AS n_frames FROM (SELECT count(*) AS k FROM o GROUP BY frame_id) GROUP BY k",
     "traffic_density": f"WITH {_OBJ}, n AS (SELECT count(*) AS k FROM o GROUP BY frame_id) SELECT count(*) FILTER (k < 5) AS low, count(*) FILTER (k BETWEEN 5 AND 15) AS medium, count(*) FILTER (k > 15) AS high, count(*) FILTER (k > 50) AS very_high FROM n",
-    "scene_complexity": f"WITH {_OBJ}, n AS (SELECT count(*) AS k FROM o GROUP BY frame_id) SELECT count(*) AS frames, CAST(sum(k) AS BIGINT) AS objects, round(avg(k), 6) AS mean, round(stddev_samp(k), 6) AS std, min(k) AS least, max(k) AS most FROM n",
+    "scene_complexity": f"WITH {_OBJ}, n AS (SELECT CASE WHEN count(DISTINCT name) < 3 THEN 'simple' WHEN count(DISTINCT name) <= 6 THEN 'moderate' ELSE 'complex' END AS complexity FROM o GROUP BY frame_id) SELECT complexity, count(*) AS n, round(count(*) / (SELECT count(*) FROM n) * 100, 6) AS pct FROM n GROUP BY complexity",
+    "objects_per_frame": f"WITH {_OBJ}, n AS (SELECT count(*) AS k FROM o GROUP BY frame_id) SELECT count(*) AS frames, CAST(sum(k) AS BIGINT) AS objects, round(avg(k), 6) AS mean, round(stddev_samp(k), 6) AS std, min(k) AS least, max(k) AS most FROM n",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +51,12 @@ def _kept(spark: SparkSession, sf: str, cap: int = boxes.CAP) -> DataFrame:
     return boxes.capped_boxes(boxes.merged_boxes(_boxes(spark, sf)), cap)
 
 
+def _grid(usable: DataFrame) -> DataFrame:
+    return boxes.composite(boxes.grid_cells(boxes.capped_boxes(boxes.merged_boxes(usable)), IMG_W, IMG_H, GRID_W, GRID_H))
+
+
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
-    return boxes.composite(boxes.grid_cells(_kept(spark, sf), IMG_W, IMG_H, GRID_W, GRID_H))
+    return _grid(_boxes(spark, sf))
 
 
 def _hist(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,11 +64,12 @@ def _hist(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stats(spark: SparkSession, sf: str) -> DataFrame:
-    return _frames(spark, sf).select("frame_id", "ord", "condition").join(curation.frame_stats(_hist(spark, sf)), "frame_id")
+    per = curation.frame_records(curation.frame_classes(_cells(spark, sf), GRID_W * GRID_H))
+    return _frames(spark, sf).select("frame_id", "ord", "condition").join(per, "frame_id")
 
 
-def _split(spark: SparkSession, sf: str) -> DataFrame:
-    return curation.stratified_split(_stats(spark, sf))
+def _split(spark: SparkSession, sf: str, *carry: str) -> DataFrame:
+    return curation.stratified_split(_stats(spark, sf), carry=carry)
 
 
 def _raster(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,12 +135,12 @@ def split_by_condition(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def split_class_representation(spark: SparkSession, sf: str) -> DataFrame:
-    return curation.class_representation(_hist(spark, sf), _split(spark, sf))
+    return curation.class_representation(_split(spark, sf, "classes"))
 
 
 @query
 def split_class_detail(spark: SparkSession, sf: str) -> DataFrame:
-    return curation.split_detail(_hist(spark, sf), _split(spark, sf))
+    return curation.split_detail(_split(spark, sf, "classes"))
 
 
 @query
@@ -192,8 +198,8 @@ def prompt_masks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def camera_labels(spark: SparkSession, sf: str) -> DataFrame:
-    cells = _cells(spark, sf)
-    return raster.camera_labels(cells, cells, GRID_W, GRID_H)
+    """Every frame with a usable box has cells, so that the strips need no second fold."""
+    return raster.camera_labels(_cells(spark, sf), _boxes(spark, sf), GRID_W, GRID_H)
 
 
 # ---- frames
@@ -235,7 +241,10 @@ def lidar_density(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def lidar_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return raster.lidar_labels(_raster(spark, sf), _cells(spark, sf), GRID_H)
+    """Only the objects of frames with points are folded and spread over cells."""
+    seen = bridge.read(spark, sf, "embeddings", "SELECT DISTINCT lpad(CAST(label AS STRING), 9, '0') AS frame_id FROM embeddings")
+    own = boxes.usable_boxes(bridge.objects(spark, sf).join(seen, "frame_id", "left_semi"), IMG_W, IMG_H)
+    return raster.lidar_labels(_raster(spark, sf), _grid(own), GRID_H)
 
 
 @query
@@ -256,9 +265,9 @@ def enhanced_raster(spark: SparkSession, sf: str) -> DataFrame:
     p = geometry.project(bridge.points(spark, sf), CAMERA)
     x, y, z = geometry.enhanced(F.col("x"), F.col("y"), F.col("z"))
     sx, sy = F.col("px") * (GRID_W / CAMERA.width), F.col("py") * (GRID_H / CAMERA.height)
-    placed = p.select("frame_id", "idx", sy.cast("int").alias("y"), sx.cast("int").alias("x"), F.struct(*(F.least(F.lit(255), v.cast("int")).alias(n) for n, v in (("xe", x), ("ye", y), ("ze", z)))).alias("b"))
+    placed = p.select("frame_id", "idx", sy.cast("int").alias("y"), sx.cast("int").alias("x"), F.struct(x.alias("xe"), y.alias("ye"), z.alias("ze")).alias("b"))
     cells = placed.groupBy("frame_id", "y", "x").agg(F.max_by("b", "idx").alias("b")).select("frame_id", "y", "x", "b.*")
-    out = raster_np.per_frame(raster_np.dense(cells, GRID_H, GRID_W, ["xe", "ye", "ze"]), raster_np.enhanced)
+    out = raster_np.per_frame(raster_np.dense(cells, GRID_H, GRID_W, ["xe", "ye", "ze"], np.float32), raster_np.enhanced, dtype=np.float32)
     return out.select("frame_id", "h", "w", "status", F.md5("data").alias("digest"))
 
 
@@ -386,4 +395,9 @@ def traffic_density(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scene_complexity(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.scene_complexity(reports.objects_histogram(bridge.objects(spark, sf)))
+    return reports.scene_complexity(bridge.objects(spark, sf))
+
+
+@query
+def objects_per_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.objects_per_frame(reports.objects_histogram(bridge.objects(spark, sf)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -178,6 +179,77 @@ def test_lidar_labels(spark):
     assert {tuple(r) for r in got.collect()} == want and len({v for *_, v in want}) >= 4
 
 
+def enhanced_by_loops(a):
+    """Blur, gap filling, dilation and scaling of each channel, cell by cell."""
+    h, w, _ = a.shape
+    weight = [math.exp(-(i * i) / 2) for i in range(-3, 4)]
+    weight = [x / sum(weight) for x in weight]
+    reach = {-3: 0, -2: 2, -1: 3, 0: 3, 1: 3, 2: 2, 3: 0}
+    element = [(dy, dx) for dy, n in reach.items() for dx in range(-n, n + 1)]
+    out = np.zeros(a.shape)
+    for c in range(a.shape[2]):
+        at = lambda v, y, x: v[y][x] if 0 <= y < h and 0 <= x < w else 0.0
+        most = lambda v, y, x: max(at(v, y + dy, x + dx) for dy, dx in element)
+        grid = lambda f: [[f(y, x) for x in range(w)] for y in range(h)]
+        v = a[:, :, c].astype(float).tolist()
+        v = grid(lambda y, x: sum(weight[i + 3] * weight[j + 3] * at(v, y + i, x + j) for i in range(-3, 4) for j in range(-3, 4)))
+        full = [(y, x) for y in range(h) for x in range(w) if v[y][x] > 0]
+        if full:
+            near = grid(lambda y, x: min(math.hypot(y - p, x - q) for p, q in full))
+            v = grid(lambda y, x: most(v, y, x) / (near[y][x] + 1) if 0 < near[y][x] <= 3 else v[y][x])
+        d = v
+        for _ in range(3):
+            d = grid(lambda y, x: most(d, y, x))
+        v = grid(lambda y, x: d[y][x] if v[y][x] <= 0 else v[y][x])
+        top = max(map(max, v))
+        out[:, :, c] = [[x / top * 255 if top > 0 else x for x in row] for row in v]
+    return out
+
+
+@pytest.mark.parametrize("channels", [(0, 1, 2), (0,), ()])
+def test_enhanced_raster_equals_loops(channels):
+    """Values above 255 before the blur, channels that differ in what they cover, and empty ones."""
+    rng = np.random.default_rng(7)
+    a = np.zeros((22, 26, 3), dtype=np.float32)
+    for c in channels:
+        for _ in range(3):
+            a[rng.integers(22), rng.integers(26), c] = rng.random() * 765
+    got, want = raster_np.enhanced(a), enhanced_by_loops(a)
+    assert got.dtype == np.uint8 and (np.abs(got - np.floor(want + 1e-9)) <= (np.abs(want - np.rint(want)) < 1e-6)).all()
+
+
+def test_enhanced_points(spark):
+    """Out of range to either side: clipped before the weight, which is 0.2 far away and 3 near by."""
+    from pyspark.sql import functions as F
+
+    rows = [(90.0, 40.0, 200.0), (-90.0, -40.0, 0.1), (0.0, 0.0, 2.0), (90.0, 15.1, 0.0)]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    got = [tuple(r) for r in df.select(*geometry.enhanced(F.col("x"), F.col("y"), F.col("z"))).collect()]
+    for (x, y, z), g in zip(rows, got, strict=True):
+        w = min(3.0, max(0.2, 3 / (z + 1)))
+        want = [min(255.0, min(1.0, max(0.0, u)) * 255 * w) * w for u in ((x + 30) / 60, (y + 15) / 30, math.log(z + 1) / math.log(121))]
+        assert g == pytest.approx(want)
+    assert got[0] == pytest.approx((10.2, 10.2, 10.2)) and got[3][0] == pytest.approx(765)
+
+
+def test_predictor_is_made_once_and_sees_images(spark, tmp_path):
+    b = spark.createDataFrame([(str(i), 0, 5, 0, 0, 2, 1, 2) for i in range(6)], BOX).coalesce(1)
+    images = spark.createDataFrame([("0", 1, 2, bytearray([9] * 6)), ("9", 1, 2, bytearray(6))], "frame_id string, h int, w int, data binary")
+    log = str(tmp_path / "made")
+
+    class Bright:
+        def __init__(self):
+            with open(log, "a") as f:
+                f.write("x")
+
+        def masks(self, image, boxes, height, width):
+            return np.full((len(boxes), height, width), image is not None and image.shape == (1, 2, 3) and image[0, 0, 0] == 9)
+
+    got = predictor.composite_masks(b, 2, 4, Bright, images).repartition(1).collect()
+    assert {r["frame_id"]: sum(r["data"]) for r in got} == {"0": 40} | {str(i): 0 for i in range(1, 6)}
+    assert 1 <= len(open(log).read()) <= 4  # one a task
+
+
 def test_camera_strips(spark):
     cells = spark.createDataFrame([("f", 0, 0, 4), ("f", 10, 0, 2)], "frame_id string, y int, x int, class_id int")
     got = {(r["y"], r["x"]): r["class_id"] for r in raster.camera_labels(cells, cells, 2, 768).collect()}
@@ -215,8 +287,8 @@ def test_kernels():
     one[4, 4] = 100
     g = raster_np.gaussian(one)
     assert g.sum() == pytest.approx(one.sum()) and g[4, 4, 0] == g.max()
-    assert raster_np.gap_filled(one)[4, 5, 0] == pytest.approx(50) and raster_np.gap_filled(one)[4, 6, 0] == 0
-    assert raster_np.dilated(one, 1)[1, 4, 0] == 100 and raster_np.dilated(one, 1)[0, 4, 0] == 0
+    assert raster_np.gap_filled(one)[4, 5, 0] == pytest.approx(50) and raster_np.gap_filled(one)[4, 6, 0] == pytest.approx(100 / 3)
+    assert [int((raster_np.dilated(one, 1)[y, :, 0] > 0).sum()) for y in range(9)] == [0, 1, 5, 7, 7, 7, 5, 1, 0]
     assert raster_np.max_scaled(one).max() == 255
     a = rng.integers(0, 255, (4, 6)).astype(np.uint8)
     assert (raster_np.nearest(a, 8, 12)[::2, ::2] == a).all() and (raster_np.bilinear(a, 4, 6) == a).all()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,13 +96,35 @@ def test_transitions_across_buckets(spark, bucket):
 def test_density_and_complexity(spark):
     h = spark.createDataFrame([(4, 1), (5, 2), (15, 3), (16, 4), (51, 1)], "k long, n_frames long")
     assert tuple(reports.traffic_density(h).first()) == (1, 5, 5, 1)
-    r = reports.scene_complexity(h).first()
+    r = reports.objects_per_frame(h).first()
     values = [4] + [5] * 2 + [15] * 3 + [16] * 4 + [51]
     mean = sum(values) / 11
     assert r["mean"] == pytest.approx(mean, abs=1e-6)
     assert r["std"] == pytest.approx((sum((v - mean) ** 2 for v in values) / 10) ** 0.5, abs=1e-6)
 
 
+def test_complexity_buckets(spark):
+    rows = [(f"{n}", f"c{i}") for n in (2, 3, 6, 7) for i in range(n)] + [("2", "c0")] * 9
+    got = {r["complexity"]: (r["n"], r["pct"]) for r in reports.scene_complexity(spark.createDataFrame(rows, "frame_id string, name string")).collect()}
+    assert got == {"simple": (1, 25.0), "moderate": (2, 50.0), "complex": (1, 25.0)}
+    maps = spark.createDataFrame([({"a": 1, "b": 2},), (None,)], "m map<string, int>")
+    assert sorted(tuple(r) for r in reports.map_rows(maps, "m", "k", "v").collect()) == [("a", 1), ("b", 2)]
+    assert tuple(maps.select(*c.time_and_weather(F.lit("night_rain"))).first()) == ("night", "rain")
+
+
+@pytest.mark.parametrize("digits", [1, 2])
+def test_split_equals_one_ranking(spark, digits):
+    """Ranks in pieces give the places of one ranking; null classes are a stratum, repeated keys keep their rows."""
+    rows = [(f"{i:05d}", "snow" if i % 3 else "day_fair", None if i % 7 == 0 else i % 2) for i in range(700)] + [("00001", "snow", 1)]
+    got = curation.stratified_split(spark.createDataFrame(rows, "frame_id string, condition string, dominant int"), digits=digits).collect()
+    want = []
+    for k in {r[1:] for r in rows}:
+        own = sorted((r for r in rows if r[1:] == k), key=lambda r: (hashlib.md5((r[0] + "42").encode()).hexdigest(), r[0]))
+        a, b = len(own) // 2, len(own) // 4
+        want += [(*r, "train" if i < a else "val" if i < a + b else "test") for i, r in enumerate(own)]
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
+
+
 def test_frame_sets(spark):
     a = spark.createDataFrame([("1",), ("2",), ("2",)], "frame_id string")
     b = spark.createDataFrame([("2",), ("3",)], "frame_id string")

@@ -56,6 +56,15 @@ def test_plans(spark):
     assert "Exchange" not in plan(q["frame_condition"](spark, SF))
 
 
+@pytest.mark.parametrize("name", ["split_class_representation", "split_class_detail", "stratified_split", "camera_labels"])
+def test_boxes_are_folded_once(spark, name):
+    """Of the final plan, what reused exchanges stand for is not run again."""
+    df = entry.queries()[name](spark, SF)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert final.count("Generate posexplode") == 1, final
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["condition", "n_frames", "pct"] and df.count() == 5
