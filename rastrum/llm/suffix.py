@@ -14,7 +14,8 @@ A suffix is known by its place (document, word).  Two suffixes that agree over
    that a rank stands for 32 and then 50 words; past ``LENGTH`` words the
    doubling stops.  Places are kept in chunks of documents, packed: a chunk
    sends each distinct pair once, however many of its places have it, and gets
-   the new rank of those that stay.
+   the new ranks of those that stay, packed too: they come in the order of its
+   pairs, so that differences of both are small.
 3. *Runs.*  Adjoining places that are left and lead to the same partner form a
    passage.
 
@@ -231,8 +232,10 @@ def _chunk(row: dict) -> tuple[np.ndarray, ...]:
     return docs, np.cumsum(rows, dtype=np.int64), np.cumsum(words, dtype=np.int64), a, b
 
 
-PAIRS = "a long, b long, chunk long, item int, least long, other long, n int, times int"
-REPLIES = "chunk long, item int, rank long, least long, other long, n long"
+PAIRS = "a long, b long, chunk long, item int, least long, counts long"
+#: The replies to a chunk from some run of sorted pairs, packed: its items, as differences, and what is said of each.
+REPLIES = "chunk long, items binary, ranks binary, least binary, other binary, n binary"
+_REPLY_SCHEMA = pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("items", "ranks", "least", "other", "n"))])
 
 
 def _groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,8 +245,8 @@ def _groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new)
 
 
-def sorted_pairs(state: DataFrame) -> DataFrame:
-    """Each chunk's distinct pairs, sorted by Spark over all chunks."""
+def sorted_pairs(state: DataFrame, last: bool) -> DataFrame:
+    """Each chunk's distinct pairs, sorted by Spark over all chunks; a second document is told only in the last round, how many there are in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,12 +257,11 @@ def sorted_pairs(state: DataFrame) -> DataFrame:
                 order, group = _groups(a, b)
                 edge, least, other, times, n = _ends(group, docs[row[order]])
                 first = order[edge]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(np.full(len(edge), r["chunk"])), pa.array(np.arange(len(edge), dtype=np.int32)), pa.array(least), pa.array(other), pa.array(n.astype(np.int32)), pa.array(times.astype(np.int32))],
-                    names=["a", "b", "chunk", "item", "least", "other", "n", "times"],
-                )
+                cols = [a[first].view(np.int64), b[first].view(np.int64), np.full(len(edge), r["chunk"]), np.arange(len(edge), dtype=np.int32), least, n << 32 | times]
+                names = ["a", "b", "chunk", "item", "least", "counts"]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *([pa.array(other)] if last else [])], names=[*names, *(["other"] if last else [])])
 
-    pairs = state.mapInArrow(run, PAIRS)
+    pairs = state.mapInArrow(run, PAIRS + ", other long" * last)
     return pairs.repartitionByRange(partitions(state.sparkSession), "a", "b").sortWithinPartitions("a", "b")
 
 
@@ -268,23 +270,45 @@ def reranked(pairs: DataFrame, inside: bool, last: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = TaskContext.get().partitionId() << 40
+        held: list[tuple[np.ndarray, ...]] = []
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            chunk, item, *said = (np.concatenate([x[k] for x in held]) for k in range(len(held[0])))
+            held.clear()
+            order = np.argsort(chunk, kind="stable")
+            chunk, item, said = chunk[order], item[order], [x[order] for x in said]
+            edge = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+            parts = list(zip(edge, np.append(edge[1:], len(chunk)), strict=True))
+            gaps = lambda x, t: [np.diff(x[i:j], prepend=0).astype(t).tobytes() for i, j in parts]
+            none = [b""] * len(parts)
+            told = [none, *([x[i:j].astype(np.int64).tobytes() for i, j in parts] for x in said)] if last else [gaps(said[0], np.int64), none, none, none]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((chunk[edge], gaps(item, np.int32), *told), _REPLY_SCHEMA, strict=True)], schema=_REPLY_SCHEMA)
+
         for part in _whole_runs(batches):
-            a, b, chunk, item, least, other, n, times = (part.column(i).to_numpy() for i in range(8))
+            a, b, chunk, item, least, counts = (part.column(i).to_numpy() for i in range(6))
+            n, times = counts >> 32, counts & 0xFFFFFFFF
             edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
             size = np.diff(np.append(edge, len(a)))
             first = np.minimum.reduceat(least, edge)
-            # the next one: the least of all documents but the first
-            rest = np.where(least == np.repeat(first, size), other, least)
-            second = np.minimum.reduceat(rest, edge)
-            total = np.add.reduceat(n.astype(np.int64), edge)
-            keep = np.add.reduceat(times.astype(np.int64), edge) > 1 if inside else second != _MAX
-            number = rank + 1 + np.arange(len(edge))
+            several = (np.maximum.reduceat(n, edge) > 1) | (np.maximum.reduceat(least, edge) != first)
+            keep = np.add.reduceat(times, edge) > 1 if inside else several
+            if last:
+                # the next one: the least of all documents but the first
+                rest = np.where(least == np.repeat(first, size), part.column(6).to_numpy(), least)
+                said = (first, np.minimum.reduceat(rest, edge), np.add.reduceat(n, edge))
+            else:
+                said = (rank + 1 + np.arange(len(edge)),)
             rank += len(edge)
             each = np.repeat(keep, size)
-            cols = [np.repeat(x, size)[each] for x in ((first, second, total) if last else (number,))]
-            none = pa.nulls(int(each.sum()), pa.int64())
-            said = [none, *map(pa.array, cols)] if last else [pa.array(cols[0]), none, none, none]
-            yield pa.RecordBatch.from_arrays([pa.array(chunk[each]), pa.array(item[each]), *said], names=["chunk", "item", "rank", "least", "other", "n"])
+            if each.any():
+                held.append((chunk[each], item[each], *(np.repeat(x, size)[each] for x in said)))
+                total += len(held[-1][0])
+                if total >= CHUNK:
+                    yield flush()
+                    total = 0
+        if total:
+            yield flush()
 
     return pairs.mapInArrow(run, REPLIES)
 
@@ -311,26 +335,45 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+_NUMBERED = "chunk long, docs binary, rows binary, words binary, items binary"
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks with the number of the pair at each place in place of the pair itself."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            *_, a, b = _chunk(r)
+            order, group = _groups(a, b)
+            number = np.empty(len(a), dtype=np.int32)
+            number[order] = group
+            blob = pa.compress(number.tobytes(), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]]), *(pa.array([x], pa.binary()) for x in (r["docs"], r["rows"], r["words"], blob))], names=["chunk", "docs", "rows", "words", "items"])
+
+
 def _answered(state: DataFrame, replies: DataFrame) -> DataFrame:
     """Chunks next to the replies to them, sorted by chunk, the chunk itself first."""
-    s = state.select("chunk", F.lit(-1).alias("item"), *(F.lit(None).cast("long").alias(c) for c in ("rank", "least", "other", "n")), "docs", "rows", "words", "a", "b")
-    r = replies.select("chunk", "item", "rank", "least", "other", "n", *(F.lit(None).cast("binary").alias(c) for c in ("docs", "rows", "words", "a", "b")))
-    return s.unionByName(r).repartition(partitions(state.sparkSession), "chunk").sortWithinPartitions("chunk", "item")
+    none = lambda *cols: [F.lit(None).cast("binary").alias(c) for c in cols]
+    s = state.mapInArrow(_numbered, _NUMBERED).select("chunk", F.lit(0).alias("reply"), "docs", "rows", "words", "items", *none("ranks", "least", "other", "n"))
+    r = replies.select("chunk", F.lit(1).alias("reply"), *none("docs", "rows", "words"), "items", "ranks", "least", "other", "n")
+    return s.unionByName(r).repartition(partitions(state.sparkSession), "chunk").sortWithinPartitions("chunk", "reply")
 
 
 def _placed(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[tuple[int, tuple[np.ndarray, ...], np.ndarray, list[np.ndarray]]]:
     """(chunk, its arrays, the places that stay, what was replied to each)."""
     for (chunk,), t in grouped(batches, ["chunk"]):
-        docs, row, word, a, b = _chunk({c: t[c][0].as_py() for c in ("docs", "rows", "words", "a", "b")})
-        replies = t.slice(1)
-        item = replies["item"].to_numpy()
-        order, group = _groups(a, b)
-        of = np.full(int(group[-1]) + 1, -1, dtype=np.int64)
+        own = {c: t[c][0].as_py() for c in ("docs", "rows", "words", "items")}
+        docs, row, word, *_ = _chunk(own | {"a": b"", "b": b""})
+        number = np.frombuffer(pa.decompress(own["items"], decompressed_size=len(own["rows"]), codec="zstd", asbytes=True), np.int32)
+        blobs = t.slice(1).to_pylist()
+        read = lambda c, f, blobs=blobs: np.concatenate([np.zeros(0, np.int64), *(f(r[c]) for r in blobs)])
+        plain = lambda x: np.frombuffer(x, np.int64)
+        item = read("items", lambda x: np.cumsum(np.frombuffer(x, np.int32), dtype=np.int64))
+        of = np.full(int(number.max()) + 1, -1, dtype=np.int64)
         of[item] = np.arange(len(item))
-        own = np.empty(len(a), dtype=np.int64)
-        own[order] = of[group]
-        keep = np.flatnonzero(own >= 0)
-        yield chunk, (docs, row, word), keep, [replies[c].to_numpy()[own[keep]] for c in (("least", "other", "n") if last else ("rank",))]
+        at = of[number]
+        keep = np.flatnonzero(at >= 0)
+        said = [read(c, plain) for c in ("least", "other", "n")] if last else [read("ranks", lambda x: np.cumsum(plain(x)))]
+        yield chunk, (docs, row, word), keep, [x[at[keep]] for x in said]
 
 
 def advanced(state: DataFrame, replies: DataFrame, offset: int) -> DataFrame:
@@ -380,9 +423,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     d = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("t"))
     hits = checkpoint(repeated_anchors(d, length, k, inside))
     state = written(chunks(perhaps(d, hits, "doc_id").join(hits, "doc_id"), length, k, steps), "chunks")
+    del hits
+    tidied(docs.sparkSession)  # what found the anchors is not needed again
     for i in range(max(1, len(steps))):
         last = i + 1 >= len(steps)
-        replies = reranked(sorted_pairs(state), inside, last)
+        replies = reranked(sorted_pairs(state, last), inside, last)
         if last:
             return _runs(state, replies, length)
         before, state = state, written(advanced(state, replies, steps[i + 1]), "chunks")
