@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import checkpoint, partitions, perhaps, split_by
+from .common import checkpoint, maybe, partitions, perhaps, split_by, tidied
 
 MIN_SHARE = 1e-3
 MIN_DOCS = 5
@@ -65,13 +65,15 @@ def _least_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(w.counts)
             least = np.minimum.reduceat(g, np.searchsorted(at, w.first[some])) if len(some) else np.zeros(0, np.uint64)
             rows = pa.array(some)
-            part = [tx.column(b, c).slice(i, j - i).take(rows) for c in ("doc_id", "toxic")]
-            yield pa.RecordBatch.from_arrays([*part, pa.array(least.view(np.int64))], names=["doc_id", "toxic", "h"])
+            yield pa.RecordBatch.from_arrays([tx.column(b, "doc_id").slice(i, j - i).take(rows), pa.array(least.view(np.int64))], names=["doc_id", "h"])
 
 
 def vocabulary(texts: DataFrame, labels: DataFrame) -> DataFrame:
     """(word, df, toxic, clean): by word hash, in how many documents, toxic and other labelled ones it occurs."""
-    marked = texts.join(labels, "doc_id", "left")
+    # only texts that may have a label are sent to theirs
+    split = maybe(texts, labels, "doc_id")
+    marked = split.where("__in").join(labels, "doc_id", "left").select("t", "toxic")
+    marked = marked.unionByName(split.where("NOT __in").select("t", F.lit(None).cast("int").alias("toxic")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[np.ndarray] = []
@@ -105,17 +107,20 @@ def vocabulary(texts: DataFrame, labels: DataFrame) -> DataFrame:
     def _counts(word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *(pa.array(n[:, i].astype(np.int64)) for i in range(3))], names=["word", "df", "toxic", "clean"])
 
-    found = marked.select("t", "toxic").mapInArrow(run, "word long, df long, toxic long, clean long")
+    found = marked.mapInArrow(run, "word long, df long, toxic long, clean long")
     return found.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("df", "toxic", "clean")))
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return pa.compress(x.tobytes(), codec="zstd", asbytes=True) + len(x).to_bytes(8, "little")
+    """Byte by byte of all numbers, of which the high ones are mostly 0."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) + len(x).to_bytes(8, "little")
 
 
 def _unpack(blob: bytes, kind: type) -> np.ndarray:
-    size = int.from_bytes(blob[-8:], "little") * np.dtype(kind).itemsize
-    return np.frombuffer(pa.decompress(blob[:-8], decompressed_size=size, codec="zstd", asbytes=True), kind)
+    n, width = int.from_bytes(blob[-8:], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(blob[:-8], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).reshape(-1).view(kind)
 
 
 def _lookup(words: np.ndarray):
@@ -303,10 +308,9 @@ def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = _texts(docs, id_col, text_col)
     lab = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
     # copies of a text speak once: of texts with the same least trigram only the least labelled id keeps its label
-    marked = perhaps(texts, lab, "doc_id").join(lab, "doc_id")
-    first = marked.mapInArrow(_least_grams, "doc_id long, toxic int, h long").groupBy("h").agg(F.min(F.struct("doc_id", "toxic")).alias("x")).select("x.doc_id", "x.toxic")
+    least = perhaps(texts, lab, "doc_id").mapInArrow(_least_grams, "doc_id long, h long")
+    first = least.join(lab, "doc_id").groupBy("h").agg(F.min(F.struct("doc_id", "toxic")).alias("x")).select("x.doc_id", "x.toxic")
     first = checkpoint(first.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    voc = checkpoint(vocabulary(texts, first))
     n = docs.count()
     said = {r["toxic"]: r["count"] for r in first.groupBy("toxic").count().collect()}
     bound = max(min_docs, min_share * n)
@@ -315,7 +319,7 @@ def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # words marked by labels stay whatever their share; the others are bounded by words a document over min_share, whatever the size of the corpus
     marked_ = f"""toxic / greatest(1, toxic + clean) >= {(1 + base) / 2!r}D AND
         (ln((toxic + 0.5D) / {nt + 1}) - ln((clean + 0.5D) / {nc + 1})) / sqrt(1 / (toxic + 0.5D) + 1 / (clean + 0.5D)) >= {SEED_Z!r}D"""
-    pdf = voc.where((F.col("df") >= bound) & (F.col("df") <= max_share * max(n, 20 * min_docs)) | F.expr(marked_)).toPandas()
+    pdf = vocabulary(texts, first).where((F.col("df") >= bound) & (F.col("df") <= max_share * max(n, 20 * min_docs)) | F.expr(marked_)).toPandas()
     words = pdf["word"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(words)
     words = words[order]
@@ -327,7 +331,9 @@ def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     clean = np.flatnonzero((c > 0) & (t / np.maximum(1, t + c) < (1 + base) / 2))
     if not len(toxic) or not len(clean):
         return Lexicon(words[:0], np.zeros(0), np.inf)
+    tidied(docs.sparkSession)  # shuffles of labelled texts and words go before the graph's
     edges = checkpoint(cooccurrence(texts, words, WINDOW))
+    tidied(docs.sparkSession)
     p = polarities(edges, len(words), toxic, clean, RESTART, STEPS)
     # of a few polarities to start the lexicon at, the one that tells labelled documents apart best, and its cut
     held = _level_scores(perhaps(texts, first, "doc_id").join(first, "doc_id"), words, p).toPandas()

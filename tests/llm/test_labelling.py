@@ -239,6 +239,34 @@ def test_toxicity_where_toxic_documents_are_common(spark):
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 3
 
 
+def test_unlabelled_texts_are_not_sent_to_labels(spark):
+    """Words counted by label, against loops; a shuffle that holds the labelled texts only."""
+    r = random.Random(9)
+    rows = [(i if i % 10 else None, " ".join("".join(r.choices("abc", k=2)) for _ in range(4000)), "en", "s") for i in range(100)] + [(7, "ab ab", "en", "s")]
+    marks = {3: 1, 7: 0, 500: 1}
+    labels = common.checkpoint(spark.createDataFrame(list(marks.items()), "doc_id long, toxic int"))
+    texts = common.checkpoint(toxicity._texts(documents(spark, rows), "doc_id", "text"))
+
+    def sent():
+        sc = spark._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before, limit = sent(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {tuple(x) for x in toxicity.vocabulary(texts, labels).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sent() - before < 0.2 * sum(len(t) for _, t, *_ in rows)
+    want = Counter()
+    for i, t, *_ in rows:
+        want.update((x, k) for x in set(t.split()) for k in ("df", marks.get(i)))
+    h = {x: int(tx.words(*tx.raw(pa.array([x]))).hashes().view(np.int64)[0]) for x, _ in want}
+    assert got == {(h[x], want[x, "df"], want[x, 1], want[x, 0]) for x in h}
+
+
 def test_cooccurrence_of_all_pairs(spark):
     """Every pair within the window, also those that occur once, against loops."""
     r = random.Random(8)
