@@ -48,6 +48,8 @@ STEPS = 12
 #: Polarities from which a word may count as in the lexicon; labelled documents decide.
 LEVELS = (0.98, 0.95, 0.9, 0.8, 0.6)
 CHUNK = 2 << 20
+#: Ranges of the vocabulary by which a word's co-occurrences are spread over buckets.
+PIECES = 32
 #: Numbers of a vector that are added up together.
 SLICE = 1 << 15
 
@@ -150,7 +152,10 @@ def cooccurrence(texts: DataFrame, words: np.ndarray, window: int) -> DataFrame:
             key, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             out: list[list] = [[], [], []]
-            for k, at in split_by((tx.mix64(key) % np.uint64(buckets)).astype(np.int64), buckets):
+            # neighbours of a word share a bucket, but for PIECES ranges of them: keys of a bucket are close to each other
+            i = key // np.uint64(v)
+            place = i * np.uint64(PIECES) + (key - i * np.uint64(v)) * np.uint64(PIECES) // np.uint64(v)
+            for k, at in split_by((tx.mix64(place) % np.uint64(buckets)).astype(np.int64), buckets):
                 # sorted keys as differences, mostly small, and counts, mostly 1
                 for x, y in zip(out, (k, _pack(np.diff(key[at], prepend=np.uint64(0))), _pack(n[at].astype(np.uint32))), strict=True):
                     x.append(y)
