@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import checkpoint, maybe, partitions, perhaps, split_by, tidied
+from .common import checkpoint, maybe, pack, partitions, perhaps, split_by, tidied, unpack
 
 MIN_SHARE = 1e-3
 MIN_DOCS = 5
@@ -113,18 +113,6 @@ def vocabulary(texts: DataFrame, labels: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("df", "toxic", "clean")))
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Byte by byte of all numbers, of which the high ones are mostly 0."""
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) + len(x).to_bytes(8, "little")
-
-
-def _unpack(blob: bytes, kind: type) -> np.ndarray:
-    n, width = int.from_bytes(blob[-8:], "little"), np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(blob[:-8], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, n).T).reshape(-1).view(kind)
-
-
 def _lookup(words: np.ndarray):
     """A function from hashes to (places, index in the sorted words) of those among them."""
     near = np.zeros(1 << 20, dtype=bool)
@@ -157,7 +145,7 @@ def cooccurrence(texts: DataFrame, words: np.ndarray, window: int) -> DataFrame:
             place = i * np.uint64(PIECES) + (key - i * np.uint64(v)) * np.uint64(PIECES) // np.uint64(v)
             for k, at in split_by((tx.mix64(place) % np.uint64(buckets)).astype(np.int64), buckets):
                 # sorted keys as differences, mostly small, and counts, mostly 1
-                for x, y in zip(out, (k, _pack(np.diff(key[at], prepend=np.uint64(0))), _pack(n[at].astype(np.uint32))), strict=True):
+                for x, y in zip(out, (k, pack(np.diff(key[at], prepend=np.uint64(0))), pack(n[at].astype(np.uint32))), strict=True):
                     x.append(y)
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
@@ -182,15 +170,15 @@ def cooccurrence(texts: DataFrame, words: np.ndarray, window: int) -> DataFrame:
         xs = [r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         if not xs:
             return
-        key = np.concatenate([np.cumsum(_unpack(x[0], np.uint64), dtype=np.uint64) for x in xs])
-        n = np.concatenate([_unpack(x[1], np.uint32) for x in xs])
+        key = np.concatenate([np.cumsum(unpack(x[0], np.uint64), dtype=np.uint64) for x in xs])
+        n = np.concatenate([unpack(x[1], np.uint32) for x in xs])
         del xs
         order = np.argsort(key)
         key, n = key[order], n[order]
         del order
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         total = np.add.reduceat(n, edge, dtype=np.int64)
-        packed = (_pack(np.diff(key[edge], prepend=np.uint64(0))), _pack(total))
+        packed = (pack(np.diff(key[edge], prepend=np.uint64(0))), pack(total))
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=["pairs", "counts"])
         del key, n, edge, total
         tx.release()
@@ -200,9 +188,9 @@ def cooccurrence(texts: DataFrame, words: np.ndarray, window: int) -> DataFrame:
 
 def _pairs(pairs: bytes, counts: bytes, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, n) of one packed row of co-occurrences in a vocabulary of v words."""
-    key = np.cumsum(_unpack(pairs, np.uint64), dtype=np.uint64)
+    key = np.cumsum(unpack(pairs, np.uint64), dtype=np.uint64)
     i = key // np.uint64(v)
-    return i.astype(np.int64), (key - i * np.uint64(v)).astype(np.int64), _unpack(counts, np.int64)
+    return i.astype(np.int64), (key - i * np.uint64(v)).astype(np.int64), unpack(counts, np.int64)
 
 
 def polarities(edges: DataFrame, v: int, toxic: np.ndarray, clean: np.ndarray, restart: float, steps: int) -> np.ndarray:

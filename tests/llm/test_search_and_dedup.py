@@ -68,6 +68,51 @@ def test_join_within_one_large_group(spark):
         assert got == brute_links(rows, 1, 0.75) and len({n for *_, n in got}) > 5
 
 
+def test_shared_counts_do_not_grow_with_buckets(spark):
+    """Sets whose grams occur elsewhere by chance: counts against loops; what is shuffled hardly depends on the number of buckets."""
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(60)]  # few grams occur more than twice, so that the list of frequent ones stays short
+    rows = [(i, " ".join(r.choice(vocab) for _ in range(400)), "en", "s") for i in range(150)]
+    docs = ngram_join._texts(documents(spark, rows).repartition(2), "doc_id", "text")
+    keys = {x["doc_id"]: x["key"] for x in ngram_join.set_rows(docs, 3).collect()}
+
+    def sent():
+        sc = spark._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    texts = ngram_join.written(docs, "texts")
+    got, most, old = [], [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (4, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            before = sent()
+            got.append({x["key"]: x["shared"] for x in ngram_join._shared_grams(texts, 3, 20)[0].collect()})
+            most.append(sent() - before)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    sets = {i: grams(t) for i, t, *_ in rows}
+    df = Counter(x for s in sets.values() for x in s)
+    assert got[0] == got[1] == {keys[i]: sum(df[x] > 1 for x in s) for i, s in sets.items()}
+    assert most[1] < 2 * most[0], most
+
+
+def test_sets_that_share_too_little_are_no_candidates(spark):
+    """A set that shares under 2/3 of its grams has no partner of its size, however many grams it has in common with others."""
+    words_ = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words_[:33] + [f"own{i}x{k}" for k in range(27)]), "en", "s") for i in range(30)]
+    rows += [(100, " ".join(words_), "en", "s"), (101, " ".join(words_[:40]), "en", "s"), (102, " ".join(words_[:36]), "en", "s")]
+    assert linked(documents(spark, rows), 1) == brute_links(rows, 1, 0.5)
+    texts = ngram_join._texts(documents(spark, rows), "doc_id", "text")
+    cand = ngram_join._shared_grams(texts, 1, 20)[0].join(ngram_join.set_rows(texts, 1), "key")
+    hot = spark.createDataFrame([], "least long, salts long")
+    fam = ngram_join.families(texts, cand, hot, 1, 0.1)
+    pairs = ngram_join.candidate_pairs(fam.where("key = leader"), 0.5, 0.1, np.zeros(0, np.uint64)).collect()
+    own = {x["key"] for x in cand.collect() if x["doc_id"] < 100}
+    assert len(own) == 30 and not [x for x in pairs if x["a"] in own and x["b"] in own]
+
+
 def test_join_of_repeated_and_null_ids(spark):
     rows = corpus(3, n=6, copies=6)
     rows += [(1, rows[2][1], "en", "s"), (1, rows[1][1], "en", "s"), (None, rows[1][1], "en", "s"), (500, "x " * 3000, "en", "s"), (501, "x " * 2999, "en", "s")]
