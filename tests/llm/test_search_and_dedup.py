@@ -113,6 +113,35 @@ def test_sets_that_share_too_little_are_no_candidates(spark):
     assert len(own) == 30 and not [x for x in pairs if x["a"] in own and x["b"] in own]
 
 
+def test_pairs_of_near_copies_are_counted_before_they_are_sent(spark):
+    """Near copies of one text meet in all buckets: no row a pair and bucket is shuffled, each pair comes once and no link is missing."""
+    r = random.Random(12)
+    rows = [(i, " ".join(f"own{i}x{k}" if r.random() < 0.002 * i else f"w{k}" for k in range(160)), "en", "s") for i in range(200)]
+    sc, old = spark._jsc.sc(), spark.conf.get("spark.sql.shuffle.partitions")
+
+    def sent():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "30")
+        texts = ngram_join.written(ngram_join._texts(documents(spark, rows), "doc_id", "text"), "texts")
+        cand = ngram_join._shared_grams(texts, 1, 20)[0].join(ngram_join.set_rows(texts, 1), "key")
+        fam = ngram_join.written(ngram_join.families(texts, cand, spark.createDataFrame([], "least long, salts long"), 1, 0.0), "families")
+        before = sent()
+        pairs = [(x["a"], x["b"]) for x in ngram_join.candidate_pairs(fam.where("key = leader"), 0.5, 0.0, np.zeros(0, np.uint64)).collect()]
+        most = sent() - before
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    sets = {i: grams(t, 1) for i, t, *_ in rows}
+    ids = {x["key"]: x["doc_id"] for x in cand.collect()}
+    got = {frozenset((ids[a], ids[b])) for a, b in pairs}
+    assert len(got) == len(pairs)
+    assert not {frozenset((i, j)) for i in ids.values() for j in ids.values() if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5 and sets[i] != sets[j]} - got
+    assert len(pairs) > 10_000 and most < 100 * len(pairs), (most, len(pairs))
+
+
 def test_join_of_repeated_and_null_ids(spark):
     rows = corpus(3, n=6, copies=6)
     rows += [(1, rows[2][1], "en", "s"), (1, rows[1][1], "en", "s"), (None, rows[1][1], "en", "s"), (500, "x " * 3000, "en", "s"), (501, "x " * 2999, "en", "s")]
