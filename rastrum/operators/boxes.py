@@ -20,17 +20,16 @@ def usable_boxes(objects: DataFrame, img_w: int, img_h: int) -> DataFrame:
     Coordinates are cut towards zero before they are clipped; sizes equal to a
     limit are kept.
     """
-    b = F.col("box2d")
-    df = objects.where(b.isNotNull()).withColumn("class_id", class_of(F.col("name"))).where("class_id IS NOT NULL")
-    df = df.select(
-        "frame_id",
-        "seq",
-        "class_id",
+    b, class_id = F.col("box2d"), class_of(F.col("name"))
+    box = F.struct(
+        class_id.alias("class_id"),
         F.greatest(F.lit(0), b["xmin"].cast("int")).alias("x0"),
         F.greatest(F.lit(0), b["ymin"].cast("int")).alias("y0"),
         F.least(F.lit(img_w), b["xmax"].cast("int")).alias("x1"),
         F.least(F.lit(img_h), b["ymax"].cast("int")).alias("y1"),
     )
+    # filters move through a projection and then repeat its expressions for each use, but not through a generator
+    df = objects.where(b.isNotNull() & class_id.isNotNull()).select("frame_id", "seq", F.inline(F.array(box)))
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     least = F.when(F.col("class_id") == VEHICLE, MIN_VEHICLE).otherwise(MIN_SIZE)
     df = df.where((w >= least) & (h >= least) & (w <= MAX_SHARE * img_w) & (h <= MAX_SHARE * img_h))
