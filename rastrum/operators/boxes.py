@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastrum.functions.conditions import class_of
+from rastrum.operators import raster_np
 
 VEHICLE = 2
 MIN_SIZE, MIN_VEHICLE = 15, 30
@@ -91,3 +96,21 @@ def grid_cells(boxes: DataFrame, img_w: int, img_h: int, grid_w: int, grid_h: in
 def composite(cells: DataFrame) -> DataFrame:
     """One class a cell: priority is the class id, so that order does not matter."""
     return cells.groupBy("frame_id", "y", "x").agg(F.max("class_id").alias("class_id"))
+
+
+def masks(merged: DataFrame, img_w: int, img_h: int, grid_w: int, grid_h: int, kernel: Callable[[pa.Array, np.ndarray], pa.RecordBatch], schema: str, cap: int = CAP) -> DataFrame:
+    """What ``kernel`` makes of the ids and composited label rasters of frames, some hundreds at a time.
+
+    The same cells as those of ``composite(grid_cells(capped_boxes(...)))``,
+    without a row or a hash entry a cell: the cap leaves each frame's boxes in
+    one task and in sequence, so that a task holds the rasters of one batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, frame, t in raster_np.whole_frames(batches):
+            c, x0, y0, x1, y1 = (t.column(k).to_numpy().astype(np.int64) for k in ("class_id", "x0", "y0", "x1", "y1"))
+            y, x = (y0 * grid_h // img_h, (y1 - 1) * grid_h // img_h), (x0 * grid_w // img_w, (x1 - 1) * grid_w // img_w)
+            yield kernel(ids, raster_np.painted(frame.astype(np.int64), c, y, x, len(ids), grid_h, grid_w))
+
+    placed = capped_boxes(merged, cap).select("frame_id", "class_id", "x0", "y0", "x1", "y1")
+    return placed.sortWithinPartitions("frame_id").mapInArrow(run, schema)  # sorted already: no sort is planned

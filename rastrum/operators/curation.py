@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rastrum.functions.conditions import CLASS_NAMES, CONDITIONS, class_name, percent
+from rastrum.operators import raster_np
 
 SEED = "42"
 
@@ -20,9 +23,28 @@ def frame_classes(cells: DataFrame, total_cells: int) -> DataFrame:
     return per.select("frame_id", whole.alias("classes"))
 
 
+CLASSES = "frame_id string, classes array<struct<class_id: int, n: bigint>>"
+
+
+def raster_classes(ids: pa.Array, rasters: np.ndarray) -> pa.RecordBatch:
+    """The lists of ``frame_classes``, of label rasters."""
+    classes, n = raster_np.class_counts(rasters)
+    # as in frame_classes, class 0 comes last
+    n = np.concatenate([n, rasters[0].size - n.sum(axis=1, keepdims=True)], axis=1).astype(np.int64)
+    frame, at = np.nonzero(n)
+    first = np.searchsorted(frame, np.arange(len(ids) + 1)).astype(np.int32)
+    items = pa.StructArray.from_arrays([pa.array(np.append(classes, 0)[at].astype(np.int32)), pa.array(n[frame, at])], names=["class_id", "n"])
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(first), items)], names=["frame_id", "classes"])
+
+
+def histogram(per: DataFrame, total_cells: int) -> DataFrame:
+    """(frame_id, class_id, n, pct) of each frame's list of classes."""
+    return per.select("frame_id", F.inline("classes")).withColumn("pct", percent(F.col("n"), F.lit(total_cells)))
+
+
 def class_histogram(cells: DataFrame, total_cells: int) -> DataFrame:
     """(frame_id, class_id, n, pct) of sparse label cells."""
-    return frame_classes(cells, total_cells).select("frame_id", F.inline("classes")).withColumn("pct", percent(F.col("n"), F.lit(total_cells)))
+    return histogram(frame_classes(cells, total_cells), total_cells)
 
 
 def frame_records(per: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 COLOURS = np.array([[0, 0, 0], [128, 128, 128], [0, 0, 255], [255, 255, 0], [255, 0, 255], [255, 0, 0]], dtype=np.uint8)
 
@@ -163,15 +165,84 @@ def per_frame(rasters: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], ch
     return rasters.select("frame_id", "h", "w", "data").mapInPandas(run, SCHEMA)
 
 
+def whole_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, pa.Table]]:
+    """(ids, frame, rows) of batches in which the rows of one frame_id follow each other: the frames of about one batch, and the place in ids of each row's frame."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> tuple[pa.Array, np.ndarray, pa.Table]:
+        t = pa.Table.from_batches(held)
+        held.clear()
+        d = t.column("frame_id").combine_chunks().dictionary_encode(null_encoding="encode")
+        return d.dictionary, d.indices.to_numpy(), t
+
+    for b in batches:
+        if not len(b):
+            continue
+        at = b.schema.get_field_index("frame_id")
+        if held and held[-1].column(at)[-1].as_py() != b.column(at)[0].as_py():
+            yield out()
+        frame = b.column(at).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        last = int(np.flatnonzero(frame == frame[-1])[0])  # where the last frame begins, which may go on in the next batch
+        if last:
+            held.append(b.slice(0, last))
+            yield out()
+        held.append(b.slice(last))
+    if held:
+        yield out()
+
+
 def dense(cells: DataFrame, h: int, w: int, channels: list[str], dtype: type = np.uint8) -> DataFrame:
     """Dense rasters of sparse cells (frame_id, y, x, channels...)."""
+    schema = pa.schema([("frame_id", pa.string()), ("h", pa.int32()), ("w", pa.int32()), ("status", pa.string()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, frame, t in whole_frames(batches):
+            a = np.zeros((len(ids), h, w, len(channels)), dtype=dtype)
+            y, x, *values = (t.column(c).to_numpy() for c in ("y", "x", *channels))
+            a[frame, y, x] = np.stack(values, axis=-1)
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([v] * len(ids), f.type) for v, f in zip((h, w, "ok"), list(schema)[1:], strict=False)), pa.array([r.tobytes() for r in a], pa.binary())], schema=schema)
+
+    return cells.select("frame_id", "y", "x", *channels).repartition("frame_id").sortWithinPartitions("frame_id").mapInArrow(run, SCHEMA)
+
+
+def painted(frame: np.ndarray, class_id: np.ndarray, y: tuple[np.ndarray, np.ndarray], x: tuple[np.ndarray, np.ndarray], n: int, h: int, w: int) -> np.ndarray:
+    """The n label rasters of boxes of cells, ends included; the greatest class stays."""
+    out = np.zeros(n * h * w, dtype=np.uint8)
+    tall, wide = y[1] - y[0] + 1, x[1] - x[0] + 1
+    steps = lambda m: np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    for c in np.unique(class_id):
+        i = np.flatnonzero(class_id == c)
+        row = np.repeat((frame[i] * h + y[0][i]) * w + x[0][i], tall[i]) + steps(tall[i]) * w
+        m = np.repeat(wide[i], tall[i])
+        out[np.repeat(row, m) + steps(m)] = c
+    return out.reshape(n, h, w)
+
+
+def sparse(ids: pa.Array, rasters: np.ndarray) -> pa.RecordBatch:
+    """The set cells of label rasters, as ``cells_of`` takes them: one row a frame."""
+    n, h, w = rasters.shape
+    flat = rasters.reshape(-1)
+    at = np.flatnonzero(flat)
+    first = np.searchsorted(at, np.arange(n + 1) * (h * w)).astype(np.int32)
+    code = (at % (h * w) << 8 | flat[at]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([ids, pa.array(np.full(n, w, np.int32)), pa.ListArray.from_arrays(pa.array(first), pa.array(code))], names=["frame_id", "w", "cells"])
+
+
+SPARSE = "frame_id string, w int, cells array<int>"
+
+
+def cells_of(lists: DataFrame) -> DataFrame:
+    """(frame_id, y, x, class_id), one row a cell, of the lists that ``sparse`` makes; nothing is grouped."""
+    c = lists.select("frame_id", "w", F.explode("cells").alias("c"))
+    return c.selectExpr("frame_id", "CAST(shiftright(c, 8) div w AS INT) AS y", "shiftright(c, 8) % w AS x", "c & 255 AS class_id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((h, w, len(channels)), dtype=dtype)
-        a[pdf["y"], pdf["x"]] = pdf[channels].to_numpy()
-        return pd.DataFrame([(pdf["frame_id"].iloc[0], h, w, "ok", a.tobytes())], columns=["frame_id", "h", "w", "status", "data"])
 
-    return cells.select("frame_id", "y", "x", *channels).groupBy("frame_id").applyInPandas(run, SCHEMA)
+def class_counts(rasters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes above 0 that occur, and the cells of each raster that have them: (classes,), (rasters, classes)."""
+    classes = np.flatnonzero(np.bincount(rasters.reshape(-1), minlength=1))
+    classes = classes[classes > 0]
+    by = np.ascontiguousarray(rasters.reshape(len(rasters), -1).T)  # adding up over rows is fast
+    return classes, np.stack([(by == c).sum(axis=0, dtype=np.uint32) for c in classes], axis=1) if len(classes) else np.zeros((len(rasters), 0), np.uint32)
 
 
 def component_areas(masks: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,20 +52,28 @@ def _kept(spark: SparkSession, sf: str, cap: int = boxes.CAP) -> DataFrame:
     return boxes.capped_boxes(boxes.merged_boxes(_boxes(spark, sf)), cap)
 
 
+def _masks(usable: DataFrame, kernel: Callable[[pa.Array, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    return boxes.masks(boxes.merged_boxes(usable), IMG_W, IMG_H, GRID_W, GRID_H, kernel, schema)
+
+
 def _grid(usable: DataFrame) -> DataFrame:
-    return boxes.composite(boxes.grid_cells(boxes.capped_boxes(boxes.merged_boxes(usable)), IMG_W, IMG_H, GRID_W, GRID_H))
+    return raster_np.cells_of(_masks(usable, raster_np.sparse, raster_np.SPARSE))
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
     return _grid(_boxes(spark, sf))
 
 
+def _classes(spark: SparkSession, sf: str) -> DataFrame:
+    return _masks(_boxes(spark, sf), curation.raster_classes, curation.CLASSES)
+
+
 def _hist(spark: SparkSession, sf: str) -> DataFrame:
-    return curation.class_histogram(_cells(spark, sf), GRID_W * GRID_H)
+    return curation.histogram(_classes(spark, sf), GRID_W * GRID_H)
 
 
 def _stats(spark: SparkSession, sf: str) -> DataFrame:
-    per = curation.frame_records(curation.frame_classes(_cells(spark, sf), GRID_W * GRID_H))
+    per = curation.frame_records(_classes(spark, sf))
     return _frames(spark, sf).select("frame_id", "ord", "condition").join(per, "frame_id")
 
 
@@ -102,12 +111,12 @@ def frame_class_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def frame_object_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return curation.frame_stats(_hist(spark, sf)).select("frame_id", "total_pixels", "object_pixels", "num_classes")
+    return curation.frame_records(_classes(spark, sf)).select("frame_id", "total_pixels", "object_pixels", "num_classes")
 
 
 @query
 def dominant_class(spark: SparkSession, sf: str) -> DataFrame:
-    return curation.frame_stats(_hist(spark, sf)).select("frame_id", F.col("dominant").alias("class_id"), c.class_name(F.col("dominant")).alias("class_name"))
+    return curation.frame_records(_classes(spark, sf)).select("frame_id", F.col("dominant").alias("class_id"), c.class_name(F.col("dominant")).alias("class_name"))
 
 
 @query

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+import random
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from rastrum.operators import boxes, curation, raster_np
+
 SF = "/root/testdata/sf0.001"
+BOX = "frame_id string, seq int, class_id int, x0 int, y0 int, x1 int, y1 int, area long"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -15,8 +20,53 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def some_boxes(frames=60):
+    r = random.Random(5)
+    rows = []
+    for f in range(frames):
+        for s in range(r.randint(1, 90 if f == 7 else 9)):
+            x, y, w, h = r.randint(0, 300), r.randint(0, 200), r.randint(15, 90), r.randint(15, 60)
+            rows.append((f"{f:03d}" if f else None, s, r.choice([2, 3, 4, 5]), x, y, x + w, y + h, w * h))
+    return rows
+
+
 @tables
 def test_coordinates_are_computed_once(spark):
     """One look-up of the class for the filter on it and one for the row; each corner is cut once."""
     p = plan(entry.queries()["resume_frames"](spark, SF))
     assert p.count("element_at") == 2 and p.count("greatest(0") == 2, p
+
+
+@pytest.mark.parametrize("batch", ["7", "2000"])
+def test_masks_equal_cells(spark, batch):
+    """Frames that go on in the next batch, more boxes than the cap, a null frame."""
+    df = spark.createDataFrame(some_boxes(), BOX)
+    want = boxes.composite(boxes.grid_cells(boxes.capped_boxes(boxes.merged_boxes(df)), 400, 300, 32, 24))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        merged = boxes.merged_boxes(df)
+        got = raster_np.cells_of(boxes.masks(merged, 400, 300, 32, 24, raster_np.sparse, raster_np.SPARSE)).collect()
+        per = boxes.masks(merged, 400, 300, 32, 24, curation.raster_classes, curation.CLASSES).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want.collect())))
+    assert sorted(map(repr, per)) == sorted(map(repr, curation.frame_classes(want, 32 * 24).collect()))
+
+
+@tables
+@pytest.mark.parametrize("name", ["mask_composite", "frame_class_histogram", "frame_object_stats", "dominant_class"])
+def test_no_hash_entry_a_cell(spark, name):
+    p = plan(entry.queries()[name](spark, SF)).split("== Initial Plan ==")[0]
+    assert " HashAggregate(" not in p and "FlatMapGroupsInPandas" not in p and "MapInPandas" not in p, p
+    assert p.count("Exchange hashpartitioning") + p.count("Exchange REPARTITION") <= 3
+
+
+def test_dense_takes_frames_across_batches(spark):
+    cells = [(f"{i % 5}", y, x, i + y + x) for i in range(5) for y in range(6) for x in range(7)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = raster_np.dense(spark.createDataFrame(cells, "frame_id string, y int, x int, v int"), 6, 7, ["v"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    assert {r["frame_id"]: np.frombuffer(r["data"], np.uint8).reshape(6, 7).tolist() for r in got} == {f"{i}": [[i + y + x for x in range(7)] for y in range(6)] for i in range(5)}
