@@ -208,7 +208,7 @@ def prompt_masks(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def camera_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Every frame with a usable box has cells, so that the strips need no second fold."""
-    return raster.camera_labels(_cells(spark, sf), _boxes(spark, sf), GRID_W, GRID_H)
+    return raster_np.cells_of(_masks(_boxes(spark, sf), lambda ids, a: raster_np.sparse(ids, raster.ignored_edges(a)), raster_np.SPARSE))
 
 
 # ---- frames

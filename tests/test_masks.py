@@ -55,7 +55,7 @@ def test_masks_equal_cells(spark, batch):
 
 
 @tables
-@pytest.mark.parametrize("name", ["mask_composite", "frame_class_histogram", "frame_object_stats", "dominant_class"])
+@pytest.mark.parametrize("name", ["mask_composite", "frame_class_histogram", "frame_object_stats", "dominant_class", "camera_labels"])
 def test_no_hash_entry_a_cell(spark, name):
     p = plan(entry.queries()[name](spark, SF)).split("== Initial Plan ==")[0]
     assert " HashAggregate(" not in p and "FlatMapGroupsInPandas" not in p and "MapInPandas" not in p, p
