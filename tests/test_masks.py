@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from rastrum.operators import boxes, curation, raster_np
+from rastrum.operators import boxes, curation, predictor, raster_np
 
 SF = "/root/testdata/sf0.001"
 BOX = "frame_id string, seq int, class_id int, x0 int, y0 int, x1 int, y1 int, area long"
@@ -55,7 +55,7 @@ def test_masks_equal_cells(spark, batch):
 
 
 @tables
-@pytest.mark.parametrize("name", ["mask_composite", "frame_class_histogram", "frame_object_stats", "dominant_class", "camera_labels"])
+@pytest.mark.parametrize("name", ["mask_composite", "frame_class_histogram", "frame_object_stats", "dominant_class", "camera_labels", "prompt_masks"])
 def test_no_hash_entry_a_cell(spark, name):
     p = plan(entry.queries()[name](spark, SF)).split("== Initial Plan ==")[0]
     assert " HashAggregate(" not in p and "FlatMapGroupsInPandas" not in p and "MapInPandas" not in p, p
@@ -70,3 +70,10 @@ def test_dense_takes_frames_across_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     assert {r["frame_id"]: np.frombuffer(r["data"], np.uint8).reshape(6, 7).tolist() for r in got} == {f"{i}": [[i + y + x for x in range(7)] for y in range(6)] for i in range(5)}
+
+
+def test_predicted_masks_of_several_sizes(spark):
+    """Cells of rasters of different sizes in one batch, and of none where the prediction failed."""
+    rows = [("a", 1, 2, "ok", bytearray([0, 3])), ("b", 2, 1, "ok", bytearray([4, 5])), ("c", 1, 2, "error: X", None)]
+    masks = spark.createDataFrame(rows, predictor.SCHEMA).coalesce(1)
+    assert sorted(tuple(r) for r in predictor.cells_of(masks).collect()) == [("a", 0, 1, 3), ("b", 0, 0, 4), ("b", 1, 0, 5)]
