@@ -283,7 +283,7 @@ def enhanced_raster(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def mask_components(spark: SparkSession, sf: str) -> DataFrame:
     """The 8-connected regions of each class of every mask, with their areas."""
-    return raster_np.component_areas(raster_np.dense(_cells(spark, sf), GRID_H, GRID_W, ["class_id"]))
+    return _masks(_boxes(spark, sf), raster_np.component_areas, raster_np.AREAS)
 
 
 @query

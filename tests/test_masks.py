@@ -55,13 +55,25 @@ def test_masks_equal_cells(spark, batch):
 
 
 @tables
-@pytest.mark.parametrize("name", ["mask_composite", "frame_class_histogram", "frame_object_stats", "dominant_class", "camera_labels", "prompt_masks"])
+@pytest.mark.parametrize("name", ["mask_composite", "frame_class_histogram", "frame_object_stats", "dominant_class", "camera_labels", "prompt_masks", "mask_components"])
 def test_no_hash_entry_a_cell(spark, name):
     p = plan(entry.queries()[name](spark, SF)).split("== Initial Plan ==")[0]
     assert " HashAggregate(" not in p and "FlatMapGroupsInPandas" not in p and "MapInPandas" not in p, p
     assert p.count("Exchange hashpartitioning") + p.count("Exchange REPARTITION") <= 3
 
 
+def test_regions_equal_components():
+    """Rings, diagonals and empty rasters among random ones."""
+    rng = np.random.default_rng(2)
+    a = np.stack([rng.choice([0, 2, 3, 5], (9, 11), p=[p, (1 - p) / 2, (1 - p) / 4, (1 - p) / 4]) for p in np.linspace(0, 1, 40)]).astype(np.uint8)
+    a[3], a[4] = np.eye(9, 11, dtype=np.uint8) * 4, 2
+    a[4, 1:-1, 1:-1] = 0
+    a[4, 3:-3, 3:-3] = 2
+    want = [(f, int(c), i + 1, int(n)) for f in range(len(a)) for c in np.unique(a[f][a[f] > 0]) for i, n in enumerate(raster_np.components(a[f] == c)[1])]
+    assert list(zip(*(x.tolist() for x in raster_np.regions(a)), strict=True)) == want
+    assert all(len(x) == 0 for x in raster_np.regions(a[-1:]))
+
+
 def test_dense_takes_frames_across_batches(spark):
     cells = [(f"{i % 5}", y, x, i + y + x) for i in range(5) for y in range(6) for x in range(7)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
