@@ -288,9 +288,17 @@ def regions(rasters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 AREAS = "frame_id string, class_id int, component int, area long"
+CLASS_AREAS = "frame_id string, class_id int, n long"
 
 
 def component_areas(ids: pa.Array, rasters: np.ndarray) -> pa.RecordBatch:
     """(frame_id, class_id, component, area) of the 8-connected regions of each class of label rasters."""
     frame, label, number, area = regions(rasters)
     return pa.RecordBatch.from_arrays([ids.take(pa.array(frame)), pa.array(label.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(area)], names=["frame_id", "class_id", "component", "area"])
+
+
+def class_areas(ids: pa.Array, rasters: np.ndarray) -> pa.RecordBatch:
+    """(frame_id, class_id, n) of each class above 0 of label rasters."""
+    classes, n = class_counts(rasters)
+    frame, at = np.nonzero(n)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(frame)), pa.array(classes[at].astype(np.int32)), pa.array(n[frame, at].astype(np.int64))], names=["frame_id", "class_id", "n"])

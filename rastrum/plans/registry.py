@@ -289,8 +289,8 @@ def mask_components(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def mask_resized(spark: SparkSession, sf: str) -> DataFrame:
     """Class histogram of every mask resampled to twice its size by nearest neighbour."""
-    big = raster_np.per_frame(raster_np.dense(_cells(spark, sf), GRID_H, GRID_W, ["class_id"]), lambda a: raster_np.nearest(a, 2 * GRID_H, 2 * GRID_W), 1)
-    return predictor.cells_of(big).groupBy("frame_id", "class_id").agg(F.count("*").alias("n"))
+    big = lambda a: raster_np.nearest(a.transpose(1, 2, 0), 2 * GRID_H, 2 * GRID_W).transpose(2, 0, 1)
+    return _masks(_boxes(spark, sf), lambda ids, a: raster_np.class_areas(ids, big(a)), raster_np.CLASS_AREAS)
 
 
 # ---- reports

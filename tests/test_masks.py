@@ -6,10 +6,11 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
-from rastrum.operators import boxes, curation, predictor, raster_np
+from rastrum.operators import boxes, curation, predictor, raster, raster_np
 
 SF = "/root/testdata/sf0.001"
 BOX = "frame_id string, seq int, class_id int, x0 int, y0 int, x1 int, y1 int, area long"
@@ -55,7 +56,7 @@ def test_masks_equal_cells(spark, batch):
 
 
 @tables
-@pytest.mark.parametrize("name", ["mask_composite", "frame_class_histogram", "frame_object_stats", "dominant_class", "camera_labels", "prompt_masks", "mask_components"])
+@pytest.mark.parametrize("name", ["mask_composite", "frame_class_histogram", "frame_object_stats", "dominant_class", "camera_labels", "mask_components", "mask_resized", "prompt_masks"])
 def test_no_hash_entry_a_cell(spark, name):
     p = plan(entry.queries()[name](spark, SF)).split("== Initial Plan ==")[0]
     assert " HashAggregate(" not in p and "FlatMapGroupsInPandas" not in p and "MapInPandas" not in p, p
@@ -74,6 +75,17 @@ def test_regions_equal_components():
     assert all(len(x) == 0 for x in raster_np.regions(a[-1:]))
 
 
+def test_areas_and_edges_of_stacks():
+    rng = np.random.default_rng(3)
+    a = rng.choice([0, 2, 5], (6, 12, 8), p=[0.6, 0.3, 0.1]).astype(np.uint8)
+    a[5] = 0
+    got = raster_np.class_areas(pa.array(list("abcdef")), a).to_pydict()
+    want = [("abcdef"[f], c, int((a[f] == c).sum())) for f in range(6) for c in (2, 5) if (a[f] == c).any()]
+    assert list(zip(*got.values(), strict=True)) == want
+    edges = raster.ignored_edges(a)
+    assert (edges[:, 5:7] == a[:, 5:7]).all() and (edges[:, :5] == np.maximum(a[:, :5], 1)).all() and (edges[:, 7:] == np.maximum(a[:, 7:], 1)).all()
+
+
 def test_dense_takes_frames_across_batches(spark):
     cells = [(f"{i % 5}", y, x, i + y + x) for i in range(5) for y in range(6) for x in range(7)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
